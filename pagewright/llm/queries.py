@@ -1,0 +1,39 @@
+"""The queries of the training-data operators and their SQL, for the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm import bpe, exact_dedup, mixing, sharding
+from pagewright.llm.common import table
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.encode(docs).withColumn("decoded", bpe.decode_column(F.col("token_ids")))
+    return both.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicate_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SHARDS_BEFORE, SHARDS_AFTER = 1024, 1280
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.resharding(table(spark, sf_dir, "documents"), SHARDS_BEFORE, SHARDS_AFTER)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+ORACLES = {
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_sharding": sharding.oracle_sql(SHARDS_BEFORE, SHARDS_AFTER),
+    "op8_mixing": mixing.oracle_sql(),
+}
