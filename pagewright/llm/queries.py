@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact_dedup, mixing, sharding
+from pagewright.llm import bpe, exact_dedup, mixing, sharding, simhash
 from pagewright.llm.common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.encode(docs).withColumn("decoded", bpe.decode_column(F.col("token_ids")))
-    return both.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip_column(F.col("text")).alias("r"))
+    return docs.select("doc_id", "r.token_ids", F.size("r.token_ids").alias("n_tokens"), "r.round_trip")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.oracle_sql(SHARDS_BEFORE, SHARDS_AFTER),
