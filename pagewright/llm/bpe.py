@@ -38,7 +38,7 @@ MULTI_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's tables may hold before they are emptied; results do not depend on it.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 #: Pieces longer than this are encoded by a scan with its own prefix table.
 LONG_PIECE = 96
 
@@ -62,6 +62,7 @@ class Vocabulary:
                 self._split[rank] = (rank, rank)
         self.length = {i: len(b) for i, b in self.token.items()}
         self.base = max(self.token) + 1
+        self.by_id = np.array([self.token.get(i, b"") for i in range(self.base)], object)
         #: Pairs that ``follows`` has decided, by left * base + right.
         self.known: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -133,8 +134,8 @@ class PrefixEncoder:
         if pattern != PATTERN:
             raise ValueError("chunks are cut for the published pattern only")
         self.split = regex.compile(pattern).findall
-        self._chunks = _Chunks(self)
-        self._first = _FirstChunks(self)
+        self.chunks = _Chunks(self)
+        self.first = _FirstChunks(self)
         # a blank with white space on both sides: only there may cutting at blanks differ from the pattern
         self._odd = regex.compile(r"\s \s").search
 
@@ -185,13 +186,16 @@ class PrefixEncoder:
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if self._odd(text):
-            chunks = self._chunks
-            return b"".join([chunks.pack(p) for p in self.split(text)])
+            return b"".join(map(self.chunks.pack, self.split(text)))
         head, *rest = text.split(" ")
-        return self._first[head] + b"".join(map(self._chunks.__getitem__, rest))
+        return self.first[head] + b"".join(map(self.chunks.__getitem__, rest))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.v.token.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of a list or array of ids."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.v.by_id)):
+            raise ValueError("an id is outside the vocabulary")
+        return b"".join(self.v.by_id[ids].tolist()).decode("utf-8", "replace")
 
 
 class _FirstChunks(dict):
@@ -215,13 +219,43 @@ class _FirstChunks(dict):
             elif chunk[:-1].isalpha() and chunk[-1] in ".,":
                 packed = self[chunk[:-1]] + self.pack(chunk[-1])
             else:
+                line, newline, rest = chunk.partition("\n")
+                if newline and line and rest and not line[-1].isspace() and not rest[0].isspace():
+                    # a line feed between words is a piece: both sides are chunks of their own
+                    return self[line] + self.pack(newline) + self.e.first[rest]
                 packed = b"".join(map(self.pack, self.e.split(self.lead + chunk)))
         if len(chunk) <= LONG_PIECE:
             self[chunk] = packed
         return packed
 
     def pack(self, piece: str) -> bytes:
-        return array("i", self.e.piece_ids(piece.encode("utf-8"))).tobytes()
+        """``piece_ids``, packed; written out once more, as most of the time goes here."""
+        v = self.e.v
+        raw = piece.encode("utf-8")
+        whole = v.ranks.get(raw)
+        if whole is not None:
+            return array("i", (whole,)).tobytes()
+        length, follows, base = v.length, v.known.get, v.base
+        last = [-1]
+        have = 0
+        for at, t in v.automaton.iter(piece if len(raw) == len(piece) else raw.decode("latin-1")):
+            if at < have:  # the prefix that ends here has its token
+                continue
+            if at > have:
+                break
+            p = last[at + 1 - length[t]]
+            if p < 0 or follows(p * base + t) or (follows(p * base + t) is None and v.follows(p, t)):
+                last.append(t)
+                have += 1
+        if have < len(raw):
+            raise ValueError(f"no token ends the prefix {raw[: have + 1][-20:]!r}: the vocabulary lacks bytes")
+        out = []
+        while have:
+            t = last[have]
+            out.append(t)
+            have -= length[t]
+        out.reverse()
+        return array("i", out).tobytes()
 
 
 class _Chunks(_FirstChunks):
@@ -299,9 +333,8 @@ def encoder_for(data: bytes) -> PrefixEncoder:
     return PrefixEncoder(_vocabulary(data))
 
 
-def pack_column(texts: pa.Array, encoder: PrefixEncoder) -> pa.ListArray:
-    """Arrow strings -> Arrow lists of 32-bit ids."""
-    packed = [None if t is None else encoder.encode_packed(t) for t in texts.to_pylist()]
+def id_lists(packed: list[bytes | None]) -> pa.ListArray:
+    """Packed ids of several texts as Arrow lists."""
     lengths = np.fromiter((0 if p is None else len(p) >> 2 for p in packed), np.int64, len(packed))
     offsets = np.zeros(len(packed) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
@@ -315,32 +348,58 @@ def encode_column(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     data = read_vocabulary(vocabulary)
 
     @F.arrow_udf("array<int>")
-    def encode_ids(t: pa.Array) -> pa.Array:
-        return pack_column(t, encoder_for(data))
+    def encode_ids(batch: pa.Array) -> pa.Array:
+        e = encoder_for(data)
+        return id_lists([None if t is None else e.encode_packed(t) for t in _each(batch)])
 
     return encode_ids(text)
 
 
+def _each(batch: pa.Array):
+    """The values one after the other, made in small lots: a batch may hold many long texts."""
+    for k in range(0, len(batch), 256):
+        yield from batch.slice(k, 256).to_pylist()
+
+
 def decode_column(ids: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     """The text of a token id column."""
     data = read_vocabulary(vocabulary)
 
     @F.arrow_udf("string")
-    def decode_ids(a: pa.Array) -> pa.Array:
-        token = _vocabulary(data).token.__getitem__
-        flat = list(map(token, a.flatten().to_pylist()))
-        out, at = [], 0
-        for n in a.value_lengths().to_pylist():
-            if n is None:
-                out.append(None)
-            else:
-                out.append(b"".join(flat[at : at + n]).decode("utf-8", "replace"))
-                at += n
-        return pa.array(out, pa.string())
+    def decode_ids(batch: pa.Array) -> pa.Array:
+        e = encoder_for(data)
+        return pa.array(_decoded(batch, e), pa.string())
 
     return decode_ids(ids)
 
 
+def _decoded(batch: pa.ListArray, e: PrefixEncoder) -> list[str | None]:
+    flat = batch.flatten().to_numpy(zero_copy_only=False)
+    out, at = [], 0
+    for n in batch.value_lengths().to_pylist():
+        out.append(None if n is None else e.decode(flat[at : at + n]))
+        at += n or 0
+    return out
+
+
+def round_trip_column(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
+    """``token_ids`` and ``round_trip``, whether decoding them gives the text again; both in one
+    pass, where two columns would encode twice."""
+    data = read_vocabulary(vocabulary)
+
+    @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
+    def there_and_back(batch: pa.Array) -> pa.Array:
+        e = encoder_for(data)
+        packed, same = [], []
+        for t in _each(batch):
+            p = None if t is None else e.encode_packed(t)
+            packed.append(p)
+            same.append(None if p is None else e.decode(np.frombuffer(p, np.int32)) == t)
+        return pa.StructArray.from_arrays([id_lists(packed), pa.array(same, pa.bool_())], ["token_ids", "round_trip"])
+
+    return there_and_back(text)
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` with the token ids of ``text`` in ``out``."""
     require(df, text)
