@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact_dedup, mixing, sharding, simhash
-from pagewright.llm.common import table
+from pagewright.llm import bpe, exact_dedup, mixing, sharding, simhash, token_rollup, toxicity
+from pagewright.llm.common import materialise, scratch_path, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,39 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op8_mixing": op8_mixing}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs.select("doc_id", "text"), model).select("doc_id", "toxicity", "toxic")
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted under two tokenizers, one of the inserts sent twice; the BPE counts
+    revised to include an end-of-text token; exact copies deleted."""
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", "source", "lang", mixing.token_count(F.col("text")).alias("words"), token_rollup.bpe_count(F.col("text")).alias("bpe"))
+    counts = materialise(counts, "token-counts")
+    rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    words, bpe_, more = F.col("words"), F.col("bpe"), F.col("bpe") + 1
+    inserts = token_rollup.changes(counts, "words-1", words).union(token_rollup.changes(counts, "byte-bpe-50k-1", bpe_))
+    rollup.commit("load-1", inserts)
+    rollup.commit("load-1", inserts)  # sent again: nothing changes
+    rollup.commit("end-of-text-1", token_rollup.revisions(counts, "byte-bpe-50k-1", bpe_, more))
+    pairs = exact_dedup.duplicate_pairs(docs.select("doc_id", "text")).where("duplicate_id IS NOT NULL").select(F.col("duplicate_id").alias("doc_id"))
+    gone = counts.join(pairs, "doc_id", "left_semi")
+    rollup.commit("dedup-1", token_rollup.changes(gone, "words-1", words, -1).union(token_rollup.changes(gone, "byte-bpe-50k-1", more, -1)))
+    return rollup.totals()
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_token_rollup": op10_token_rollup,
+}
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.oracle_sql(SHARDS_BEFORE, SHARDS_AFTER),
