@@ -10,9 +10,10 @@ sum of (t_i + 1) is tau + 1: two hashes within tau bits are then within t_i bits
 partition i. m and the unequal thresholds come from a dynamic programme that weighs the rows
 to shuffle against the candidates to verify; these are estimated from the collisions
 counted, over all hashes, in each partition, so that narrow partitions serve small tables and
-wide ones large tables. A partition is probed by an equi-join: both sides list the values
-within half of t_i bits of their own, and meet in the middle. Candidates are verified inside
-the join by the number of differing bits, and what is left by the word-pair hashes.
+wide ones large tables. A partition is probed by its values: both partners list the values
+within half of t_i bits of their own, and meet in the middle. The lists are shuffled and sorted by
+value, and the candidates that meet at one are verified by vector arithmetic on the number
+of differing bits; what is left is verified by the word-pair hashes.
 
 Equal hashes are one node, so a thousand exact copies cost no pairs. Groups are the connected
 components of the pairs (alternating large-star and small-star, each round written to the
@@ -43,8 +44,10 @@ BITS = 64
 TAU = 9
 TAU_PAIRS = 44
 PARTITIONS = (3, 4, 5, 6)
-#: Relative costs of a row to list and shuffle, and of a candidate to verify.
-COST_ROW, COST_CANDIDATE = 1.0, 0.04
+#: Relative costs of a row to list and shuffle (about a microsecond), and of a candidate to verify.
+COST_ROW, COST_CANDIDATE = 1.0, 0.004
+#: Cost units for a task of the probe.
+TASK_COST = 2_000_000
 #: Ids (some 40 bytes each as a hash table) up to which a table is broadcast.
 BROADCAST_ROWS = 500_000
 WORD_CACHE = 600_000
@@ -168,13 +171,13 @@ def ball(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1)) if radius >= 0 else 0
 
 
-def probe_cost(width: int, t: int, rows: float, collisions: float) -> float:
-    """Estimated cost of probing a partition with threshold ``t`` (-1: not at all)."""
+def probe_cost(width: int, t: int, rows: float, collisions: float) -> tuple[float, float]:
+    """Rows to list and candidates to expect for threshold ``t`` (-1: the partition is not probed)."""
     if t < 0:
-        return 0.0
+        return 0.0, 0.0
     near, far = ball(width, t // 2), ball(width, (t + 1) // 2)
-    candidates = near * far * collisions * (2 if t % 2 else 1)
-    return COST_ROW * rows * (near + far) + COST_CANDIDATE * candidates
+    listed = near if near == far else near + far
+    return rows * listed, near * far * collisions * (2 if t % 2 else 1)
 
 
 def allocate(tau: int, rows: float, collisions: list[float]) -> tuple[float, list[int]]:
@@ -185,7 +188,8 @@ def allocate(tau: int, rows: float, collisions: list[float]) -> tuple[float, lis
         after: dict[int, tuple[float, list[int]]] = {}
         for spent, (cost, chosen) in best.items():
             for t in range(-1, min(tau - spent, width - 1) + 1):
-                total = cost + probe_cost(width, t, rows, c)
+                listed, candidates = probe_cost(width, t, rows, c)
+                total = cost + COST_ROW * listed + COST_CANDIDATE * candidates
                 key = spent + t + 1
                 if key <= tau + 1 and (key not in after or total < after[key][0]):
                     after[key] = (total, [*chosen, t])
@@ -197,6 +201,7 @@ def allocate(tau: int, rows: float, collisions: list[float]) -> tuple[float, lis
 class Plan:
     order: list[int]
     thresholds: list[int]
+    cost: float = 0.0
 
 
 def make_plan(nodes: DataFrame, tau: int) -> Plan:
@@ -209,7 +214,8 @@ def make_plan(nodes: DataFrame, tau: int) -> Plan:
     squares = counts.groupBy(F.col("key").bitwiseAND(4095).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
     pairs = {r.part: r.pairs for r in squares.collect()}  # a row for each partition
     found = [allocate(tau, rows, [pairs.get(m * 64 + i, 0.0) for i in range(m)]) for m in PARTITIONS]
-    return Plan(order, min(found)[1])
+    cost, thresholds = min(found)
+    return Plan(order, thresholds, cost)
 
 
 def permuted(s: Column, order: list[int]) -> Column:
@@ -235,25 +241,97 @@ def _flips(width: int, radius: int) -> list[int]:
 # -- pairs and groups ------------------------------------------------------------------------
 
 
+#: Rows that share a value are compared by shifts up to this number, and block by block beyond.
+_SHIFTS = 24
+_BLOCK = 2048
+
+
+def meeting_pairs(key: np.ndarray, side: np.ndarray, s: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs with equal key (sorted) and hashes within ``tau`` bits; rows of side 0
+    and 1 pair with each other, rows of side 2 among themselves."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    left, right = [], []
+    short = np.repeat(sizes <= _SHIFTS, sizes)
+    at = np.flatnonzero(short)
+    k, h, sd = key[at], s[at], side[at]
+    for d in range(1, int(sizes[sizes <= _SHIFTS].max(initial=1))):
+        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(h[d:] ^ h[:-d]) <= tau) & ((sd[d:] != sd[:-d]) | (sd[d:] == 2)))
+        left.append(at[hit])
+        right.append(at[hit + d])
+    for run in np.flatnonzero(sizes > _SHIFTS):
+        a = np.arange(starts[run], starts[run] + sizes[run])
+        if side[a[0]] == 2:
+            for x in range(0, len(a), _BLOCK):
+                for y in range(x, len(a), _BLOCK):
+                    i, j = np.nonzero(np.bitwise_count(s[a[x : x + _BLOCK], None] ^ s[a[y : y + _BLOCK]]) <= tau)
+                    later = i + x < j + y
+                    left.append(a[i[later] + x])
+                    right.append(a[j[later] + y])
+        else:
+            one, two = a[side[a] == 0], a[side[a] == 1]
+            for x in range(0, len(one), _BLOCK):
+                for y in range(0, len(two), _BLOCK):
+                    i, j = np.nonzero(np.bitwise_count(s[one[x : x + _BLOCK], None] ^ s[two[y : y + _BLOCK]]) <= tau)
+                    left.append(one[i + x])
+                    right.append(two[j + y])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def listed_values(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Each node under every value at which it can meet a partner: key, side, node, s."""
+    m, keys = len(plan.thresholds), []
+    for i, (value, width, t) in enumerate(zip(part_values(F.col("p"), m), widths(m), plan.thresholds)):
+        if t < 0:
+            continue
+        base = F.shiftleft(value, 8).bitwiseOR(F.lit(i * 4).cast("bigint"))
+        for side, radius in ((2, t // 2),) if t % 2 == 0 else ((0, (t + 1) // 2), (1, t // 2)):
+            flips = F.array(*[F.lit((f << 8) + side).cast("bigint") for f in _flips(width, radius)])
+            keys.append(F.transform(flips, lambda f, base=base: base.bitwiseXOR(f)))
+    both = nodes.select("node", "s", permuted(F.col("s"), plan.order).alias("p"))
+    # the two lowest bits are the side; rows meet at the rest
+    listed = both.select(F.explode(F.concat(*keys)).alias("k"), "node", "s")
+    return listed.select(F.shiftright("k", 2).alias("key"), F.col("k").bitwiseAND(3).cast("tinyint").alias("side"), "node", "s")
+
+
 def near_pairs(nodes: DataFrame, tau: int = TAU, tau_pairs: int = TAU_PAIRS, plan: Plan | None = None) -> DataFrame:
     """All pairs a < b of ``nodes`` (node, s, v1, v2) that are near copies, each once."""
     plan = plan or make_plan(nodes, tau)
-    m = len(plan.thresholds)
 
-    def listed(side: str) -> DataFrame:
-        keys = []
-        for i, (value, width, t) in enumerate(zip(part_values(F.col("p"), m), widths(m), plan.thresholds)):
-            if t < 0:
+    def verify(batches):
+        held: list[pa.Table] = []
+
+        def found(t: pa.Table):
+            key, side, node, s = (c.to_numpy() for c in t.columns)
+            i, j = meeting_pairs(key, side, s.view(np.uint64), tau)
+            if len(i):
+                pair = np.unique(np.sort(np.stack([node[i], node[j]], axis=1), axis=1), axis=0)
+                pair = pair[pair[:, 0] != pair[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node_a", "node_b"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            flips = _flips(width, t // 2 if side == "b" else (t + 1) // 2)
-            base = F.shiftleft(value, 4).bitwiseOR(F.lit(i).cast("bigint"))
-            keys.append(F.transform(F.array(*[F.lit(f << 4).cast("bigint") for f in flips]), lambda f, base=base: base.bitwiseXOR(f)))
-        both = nodes.select("node", "s", permuted(F.col("s"), plan.order).alias("p"))
-        return both.select(F.explode(F.concat(*keys)).alias("key"), F.col("node").alias(f"node_{side}"), F.col("s").alias(f"s_{side}"))
-
-    near = (F.col("node_a") < F.col("node_b")) & (differing(F.col("s_a"), F.col("s_b")) <= tau)
-    found = listed("a").join(listed("b"), "key").where(near).select("node_a", "node_b").distinct()
-    found = materialise(found, "simhash-pairs")
+            t = pa.Table.from_batches([b])
+            key = b.column(0).to_numpy()
+            # the last value may go on in the next batch
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield from found(pa.concat_tables([*held, t.slice(0, cut)]).combine_chunks())
+                held = [t.slice(cut)]
+            elif held and held[-1].column(0)[-1].as_py() != key[0]:
+                yield from found(pa.concat_tables(held).combine_chunks())
+                held = [t]
+            else:
+                held.append(t)
+        if held:
+            yield from found(pa.concat_tables(held).combine_chunks())
+
+    # rows are few bytes and much work, so the number of tasks goes by the estimated work
+    tasks = int(min(max(12, plan.cost / TASK_COST), 100_000))
+    sorted_ = listed_values(nodes, plan).repartition(tasks, "key").sortWithinPartitions("key")
+    found = materialise(sorted_.mapInArrow(verify, "node_a bigint, node_b bigint").distinct(), "simhash-pairs")
     v = nodes.select("node", "v1", "v2")
     a, b = (v.select(*[F.col(c).alias(f"{c}_{x}") for c in v.columns]) for x in "ab")
     both = found.join(a, "node_a").join(b, "node_b")
