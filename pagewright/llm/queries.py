@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact_dedup, mixing, sharding, simhash, token_rollup, toxicity
+from pagewright.llm import bpe, exact_dedup, html_extract, mixing, sharding, simhash, token_rollup, topk, toxicity
 from pagewright.llm.common import materialise, scratch_path, table
 
 
@@ -30,6 +30,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.resharding(table(spark, sf_dir, "documents"), SHARDS_BEFORE, SHARDS_AFTER)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).drop("html")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy")
 
@@ -63,6 +71,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_html": op6_html,
+    "op7_topk": op7_topk,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_rollup": op10_token_rollup,
@@ -70,5 +80,6 @@ QUERIES = {
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_sharding": sharding.oracle_sql(SHARDS_BEFORE, SHARDS_AFTER),
+    "op7_topk": topk.oracle_sql(10),
     "op8_mixing": mixing.oracle_sql(),
 }
