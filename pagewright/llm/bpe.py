@@ -113,10 +113,15 @@ class Vocabulary:
                 limit, right = right + 1, split[right][0]
 
 
+def vocabulary(data: bytes) -> dict[bytes, int]:
+    """Token bytes -> rank."""
+    pairs = (line.split() for line in data.splitlines() if line.strip())
+    return {base64.b64decode(a): int(b) for a, b in pairs}
+
+
 @lru_cache(maxsize=4)
 def _vocabulary(data: bytes) -> Vocabulary:
-    pairs = (line.split() for line in data.splitlines() if line.strip())
-    return Vocabulary({base64.b64decode(a): int(b) for a, b in pairs})
+    return Vocabulary(vocabulary(data))
 
 
 @lru_cache(maxsize=4)
@@ -343,9 +348,9 @@ def id_lists(packed: list[bytes | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=missing)
 
 
-def encode_column(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
+def encode_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """Token ids of a text column."""
-    data = read_vocabulary(vocabulary)
+    data = read_vocabulary(path)
 
     @F.arrow_udf("array<int>")
     def encode_ids(batch: pa.Array) -> pa.Array:
@@ -361,9 +366,9 @@ def _each(batch: pa.Array):
         yield from batch.slice(k, 256).to_pylist()
 
 
-def decode_column(ids: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
+def decode_column(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """The text of a token id column."""
-    data = read_vocabulary(vocabulary)
+    data = read_vocabulary(path)
 
     @F.arrow_udf("string")
     def decode_ids(batch: pa.Array) -> pa.Array:
@@ -382,10 +387,10 @@ def _decoded(batch: pa.ListArray, e: PrefixEncoder) -> list[str | None]:
     return out
 
 
-def round_trip_column(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
+def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """``token_ids`` and ``round_trip``, whether decoding them gives the text again; both in one
     pass, where two columns would encode twice."""
-    data = read_vocabulary(vocabulary)
+    data = read_vocabulary(path)
 
     @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
     def there_and_back(batch: pa.Array) -> pa.Array:
@@ -400,15 +405,15 @@ def round_trip_column(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Col
     return there_and_back(text)
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "token_ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` with the token ids of ``text`` in ``out``."""
     require(df, text)
     kept = [q(c) for c in without(df, out).columns]
-    return df.select(*kept, encode_column(q(text), vocabulary).alias(out))
+    return df.select(*kept, encode_column(q(text), path).alias(out))
 
 
-def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` with the text of ``ids`` in ``out``."""
     require(df, ids)
     kept = [q(c) for c in without(df, out).columns]
-    return df.select(*kept, decode_column(q(ids), vocabulary).alias(out))
+    return df.select(*kept, decode_column(q(ids), path).alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact_dedup, html_extract, mixing, sharding, simhash, token_rollup, topk, toxicity
+from pagewright.llm import bpe, exact_dedup, html_extract, mixing, repair, sharding, simhash, token_rollup, topk, toxicity
 from pagewright.llm.common import materialise, scratch_path, table
 
 
@@ -15,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "r.token_ids", F.size("r.token_ids").alias("n_tokens"), "r.round_trip")
 
 
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, compressed; the rules of the shards are rows too."""
+    return repair.compress_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +73,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_repair": op2_repair,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
