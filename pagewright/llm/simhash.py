@@ -279,6 +279,11 @@ def meeting_pairs(key: np.ndarray, side: np.ndarray, s: np.ndarray, tau: int) ->
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def _flipped(flips: Column, base: Column) -> Column:
+    # the function has one parameter: a second would be given the place in the array
+    return F.transform(flips, lambda f: base.bitwiseXOR(f))
+
+
 def listed_values(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Each node under every value at which it can meet a partner: key, side, node, s."""
     m, keys = len(plan.thresholds), []
@@ -288,7 +293,7 @@ def listed_values(nodes: DataFrame, plan: Plan) -> DataFrame:
         base = F.shiftleft(value, 8).bitwiseOR(F.lit(i * 4).cast("bigint"))
         for side, radius in ((2, t // 2),) if t % 2 == 0 else ((0, (t + 1) // 2), (1, t // 2)):
             flips = F.array(*[F.lit((f << 8) + side).cast("bigint") for f in _flips(width, radius)])
-            keys.append(F.transform(flips, lambda f, base=base: base.bitwiseXOR(f)))
+            keys.append(_flipped(flips, base))
     both = nodes.select("node", "s", permuted(F.col("s"), plan.order).alias("p"))
     # the two lowest bits are the side; rows meet at the rest
     listed = both.select(F.explode(F.concat(*keys)).alias("k"), "node", "s")
