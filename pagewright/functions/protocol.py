@@ -94,22 +94,29 @@ def loop_size(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span
     A size qualifies iff the tail of k = max(repeats, ceil(span / size)) units is k times the last unit;
     only qualifying sizes have their repeats counted.
     """
-    c = collapse(text)
-    tests = []
-    for n in range(1, ngram_size + 1):
-        k = max(min_repeats, 3, -(-min_span // n))
-        tests.append(F.when((F.length(c) >= n * k) & (F.right(c, F.lit(n * k)) == F.repeat(F.right(c, F.lit(n)), k)), F.struct((repeats_at_end(c, n) * n).alias("span"), F.lit(-n).alias("minus"))))
-    best = F.array_max(F.array_compact(F.array(*tests)))
-    return best
+    sizes = [(n, max(min_repeats, 3, -(-min_span // n))) for n in range(1, ngram_size + 1)]
+    reach = max(n * k for n, k in sizes)
+
+    def tests(x: Column) -> Column:
+        c, tail = x["c"], x["tail"]
+        found = [F.when((F.length(tail) >= n * k) & (F.right(tail, F.lit(n * k)) == F.repeat(F.right(tail, F.lit(n)), k)), F.struct((repeats_at_end(c, n) * n).alias("span"), F.lit(-n).alias("minus"))) for n, k in sizes]
+        return F.array_max(F.array_compact(F.array(*found)))
+
+    # as variables of a lambda the collapsed text and its tail are made once, not for each size
+    whole = F.transform(F.array(collapse(text)), lambda c: F.struct(c.alias("c"), F.right(c, F.lit(reach)).alias("tail")))
+    return F.get(F.transform(whole, tests), F.lit(0))
 
 
 def degenerate(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span: int = 200) -> Column:
     """struct<detected, kind, ngram_size, repeats, span>: white-space spirals first, else the
     longest repeated tail."""
     spiral = F.regexp_extract(text, f"({SPIRAL})", 1)
-    best = loop_size(text, ngram_size, min_repeats, min_span)
     found = F.length(spiral) > 0
-    size = -best["minus"]
+    report = lambda best: _report(spiral, found, best, -best["minus"])
+    return F.get(F.transform(F.array(loop_size(text, ngram_size, min_repeats, min_span)), report), F.lit(0))
+
+
+def _report(spiral: Column, found: Column, best: Column, size: Column) -> Column:
     return F.struct(
         (F.coalesce(found, F.lit(False)) | best.isNotNull()).alias("detected"),
         F.when(found, "whitespace_spiral").when(best.isNotNull(), "repetition_loop").otherwise("").alias("kind"),
