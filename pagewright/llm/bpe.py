@@ -31,14 +31,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import q, require, without
+from pagewright.llm.common import q, require, take_turn, without
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MULTI_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's tables may hold before they are emptied; results do not depend on it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: Pieces longer than this are encoded by a scan with its own prefix table.
 LONG_PIECE = 96
 
@@ -144,6 +144,11 @@ class PrefixEncoder:
         # a blank with white space on both sides: only there may cutting at blanks differ from the pattern
         self._odd = regex.compile(r"\s \s").search
 
+    def clear(self) -> None:
+        """Empty all tables that grow with the texts."""
+        for table in (self.chunks, self.first, self.chunks.older, self.first.older, self.v.known):
+            table.clear()
+
     # -- one piece ---------------------------------------------------------
     def piece_prefixes(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each non-empty prefix; ``known`` holds those of a beginning."""
@@ -338,6 +343,13 @@ def encoder_for(data: bytes) -> PrefixEncoder:
     return PrefixEncoder(_vocabulary(data))
 
 
+def encoder_in_turn(data: bytes) -> PrefixEncoder:
+    """``encoder_for``, for use in a worker that other operators use too."""
+    e = encoder_for(data)
+    take_turn("bpe", e.clear)
+    return e
+
+
 def id_lists(packed: list[bytes | None]) -> pa.ListArray:
     """Packed ids of several texts as Arrow lists."""
     lengths = np.fromiter((0 if p is None else len(p) >> 2 for p in packed), np.int64, len(packed))
@@ -354,7 +366,7 @@ def encode_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode_ids(batch: pa.Array) -> pa.Array:
-        e = encoder_for(data)
+        e = encoder_in_turn(data)
         return id_lists([None if t is None else e.encode_packed(t) for t in _each(batch)])
 
     return encode_ids(text)
@@ -372,7 +384,7 @@ def decode_column(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
     @F.arrow_udf("string")
     def decode_ids(batch: pa.Array) -> pa.Array:
-        e = encoder_for(data)
+        e = encoder_in_turn(data)
         return pa.array(_decoded(batch, e), pa.string())
 
     return decode_ids(ids)
@@ -394,7 +406,7 @@ def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
     @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
     def there_and_back(batch: pa.Array) -> pa.Array:
-        e = encoder_for(data)
+        e = encoder_in_turn(data)
         packed, same = [], []
         for t in _each(batch):
             p = None if t is None else e.encode_packed(t)

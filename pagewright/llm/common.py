@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,15 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+_active: list = [None, None]
+
+
+def take_turn(owner: str, clear: Callable[[], None]) -> None:
+    """Called by an operator in a Python worker before it fills tables of its own. Workers serve one
+    operator after another; what the last one left is emptied, so that tables never add up."""
+    if _active[0] not in (None, owner):
+        _active[1]()
+        pa.default_memory_pool().release_unused()
+    _active[:] = [owner, clear]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, materialise, q, require
+from pagewright.llm.common import fresh, materialise, q, require, take_turn
 
 BITS = 64
 TAU = 9
@@ -50,7 +50,7 @@ COST_ROW, COST_CANDIDATE = 1.0, 0.004
 TASK_COST = 2_000_000
 #: Ids (some 40 bytes each as a hash table) up to which a table is broadcast.
 BROADCAST_ROWS = 500_000
-WORD_CACHE = 600_000
+WORD_CACHE = 300_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -111,7 +111,10 @@ def fingerprint_column(text: Column) -> Column:
 
     @F.arrow_udf("struct<s: bigint, v1: bigint, v2: bigint>")
     def prints(batch: pa.Array) -> pa.Array:
-        found = [fingerprint(t) for t in batch.to_pylist()]
+        take_turn("simhash", _words().clear)
+        found = []
+        for k in range(0, len(batch), 256):
+            found += map(fingerprint, batch.slice(k, 256).to_pylist())
         missing = pa.array([f is None for f in found], pa.bool_())
         columns = [pa.array([None if f is None else f[k] for f in found], pa.int64()) for k in range(3)]
         return pa.StructArray.from_arrays(columns, ["s", "v1", "v2"], mask=missing)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import DEFAULT_VOCABULARY, encoder_for, read_vocabulary
+from pagewright.llm.bpe import DEFAULT_VOCABULARY, encoder_in_turn, read_vocabulary
 from pagewright.llm.common import q, require
 
 KEYS = ("source", "lang", "tokenizer")
@@ -38,7 +38,7 @@ def bpe_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
 
     @F.arrow_udf("bigint")
     def count(batch: pa.Array) -> pa.Array:
-        e = encoder_for(data)
+        e = encoder_in_turn(data)
         out = []
         for k in range(0, len(batch), 256):
             out += [None if t is None else len(e.encode_packed(t)) >> 2 for t in batch.slice(k, 256).to_pylist()]
