@@ -1,0 +1,166 @@
+"""Operators on small inputs with known outcomes, and every query against its SQL."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright.functions import protocol
+from pagewright.operators import anchors, formatting, governance, layout, regions, spans, triage
+from pagewright.schema import CHARS, PAGE_OBJECTS, PAGES
+from pagewright.streaming import ingest
+
+SPAN = dict(font="f", size=10.0, bold=False, italic=False, underline=False, strikeout=False, heading_level=0)
+
+
+def span(text, x0, y0, x1, **more):
+    return SPAN | dict(text=text, x0=x0, y0=y0, x1=x1, y1=y0 + 10.0) | more
+
+
+def one(spark, column, **values):
+    names = list(values)
+    df = spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} string" for n in names))
+    return df.select(column.alias("r")).first().r
+
+
+# -- pages -----------------------------------------------------------------------------------
+
+
+def test_blank_page_escalates_and_errors_come_first(spark):
+    pages = spark.createDataFrame([("a", 0, 1.0, 1.0, "", None), ("b", 0, 1.0, 1.0, "word " * 60, None), ("c", 0, 1.0, 1.0, None, "broken")], PAGES)
+    got = {r.doc_id: (r.route, r.reasons[0].code if r.reasons else None) for r in ingest.triage_pages(pages).collect()}
+    assert got == {"a": ("vlm", "sparse"), "b": ("fast", None), "c": ("vlm", "unreadable")}
+    assert triage.render_reason("math", 0.0155, None).startswith("math density 0.0")
+
+
+def test_images_cover_at_most_the_page_and_bad_boxes_nothing(spark):
+    pages = spark.createDataFrame([("a", 0, 10.0, 10.0, "", None)], PAGES)
+    objects = spark.createDataFrame([("a", 0, 0, "image", 0.0, 0.0, 20.0, 20.0), ("a", 0, 1, "image", None, 0.0, 1.0, 1.0)], PAGE_OBJECTS)
+    r = triage.profile_objects(objects, pages).first()
+    assert (r.image_object_count, r.path_object_count, r.image_area_ratio) == (2, 0, 1.0)
+
+
+# -- replies ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text, loop", [("Chapter 1 " + "." * 40, False), ("a" * 500, True), ("the same phrase " * 40, True), ("a | b |\n" * 3, False), ("x" + " " * 250 + "y", True)])
+def test_degenerate(spark, text, loop):
+    r = one(spark, protocol.degenerate(F.col("t")), t=text)
+    assert r.detected is loop
+    cut = one(spark, protocol.truncate_degenerate(F.col("t"), protocol.degenerate(F.col("t"))), t=text)
+    assert (len(cut) < len(text)) is loop
+
+
+def test_front_matter(spark):
+    r = one(spark, protocol.page_response(F.col("t")), t="---\nprimary_language: null\nis_rotation_valid: False\nrotation_correction: 45\nis_table: True\nis_diagram: no\n---\n  body \n")
+    assert (r.primary_language, r.is_rotation_valid, r.rotation_correction, r.is_table, r.is_diagram, r.natural_text) == (None, False, 0, True, False, "body")
+    assert one(spark, protocol.page_response(F.col("t")), t="only text").natural_text == "only text"
+    assert one(spark, protocol.page_response(F.col("t")), t="---\na: b\n---\n \n").natural_text is None
+
+
+@pytest.mark.parametrize("gb, n", [(0.0, 4), (0.01, 4), (400.0, 256)])
+def test_concurrency(spark, gb, n):
+    assert spark.range(1).select(governance.concurrency(F.lit(gb))).first()[0] == n
+
+
+# -- typography ------------------------------------------------------------------------------
+
+
+def chars(text, y=0.0, font="F", flags=0, size=10.0, start=0, box=True):
+    return [("d", 0, start + i, ord(c), font, flags, 400, size, *((i * 5.0, y, i * 5.0 + 5, y + 10) if box else (None,) * 4)) for i, c in enumerate(text)]
+
+
+def test_characters_become_spans_with_rules_and_headings(spark):
+    rows = chars("Head", 100.0, "Sans-Bold", size=20.0) + chars("\n", start=4) + chars("plain text of the page", 50.0, start=5) + chars("ü😀", 20.0, "Sans-Oblique", start=40)
+    objects = spark.createDataFrame([("d", 0, 0, "path", 0.0, 49.0, 110.0, 50.0), ("d", 0, 1, "path", 0.0, 24.0, 10.0, 25.0)], PAGE_OBJECTS)
+    got = {r.text: r for r in spans.extract_spans(spark.createDataFrame(rows, CHARS), objects).collect()}
+    assert got["Head"].bold and got["Head"].heading_level == 1
+    assert got["plain text of the page"].underline and not got["plain text of the page"].bold
+    assert got["ü😀"].italic and got["ü😀"].strikeout
+
+
+def test_line_end_without_a_box_ends_no_span(spark):
+    rows = chars("ab") + chars("\n", start=2, box=False) + chars("cd", start=3)
+    assert [r.text for r in spans.spans_from_chars(spark.createDataFrame(rows, CHARS)).collect()] == ["abcd"]
+
+
+def test_marks():
+    bold, head = span("Total revenue", 0, 0, 50, bold=True), span("Annual Report", 0, 50, 60, size=20.0, heading_level=1)
+    text, n = formatting.apply_marks("Annual Report\n\nthe total  revenue grew", [bold, head])
+    assert text == "# Annual Report\n\nthe **total  revenue** grew" and (n["headings"], n["bold"]) == (1, 1)
+    assert formatting.apply_marks("see Annual Report", [head])[0] == "see **Annual Report**"
+    both = [span("same text", 0, 0, 9, bold=True), span("same text", 0, 99, 9)]
+    assert formatting.apply_marks("same text", both)[1]["skipped_ambiguous"] == 1
+    assert formatting.apply_marks("cat cat", [span("cat", 0, 0, 9, bold=True)])[0] == "cat cat"
+    assert formatting.apply_marks('<a href="Total revenue">x</a>', [bold])[0] == '<a href="Total revenue">x</a>'
+    assert len(formatting.merge_runs([span("Meeting", 0, 0, 30, bold=True), span("Notice", 33, 0.5, 60, bold=True)])) == 1
+
+
+def test_marks_by_page(spark):
+    pages = spark.createDataFrame([("d", 0, "Total revenue"), ("d", 1, "**x** Total revenue"), ("d", 2, None)], "doc_id string, page_index int, markdown string")
+    s = span("Total revenue", 0.0, 0.0, 50.0, bold=True)
+    rows = spark.createDataFrame([("d", p, 0, s["text"], 0.0, 0.0, 50.0, 10.0, "f", 10.0, True, False, False, False, 0) for p in (0, 1, 2)], "doc_id string, page_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, font string, size double, bold boolean, italic boolean, underline boolean, strikeout boolean, heading_level int")
+    got = {r.page_index: r.markdown for r in formatting.apply_formatting(pages, rows).collect()}
+    assert got == {0: "**Total revenue**", 1: "**x** Total revenue", 2: None}
+
+
+# -- layout, regions, anchors ----------------------------------------------------------------
+
+
+def test_two_columns_are_read_one_after_the_other(spark):
+    rows = [("d", 0, 2 * i + s, f"{'LR'[s]}{i}", (60.0, 340.0)[s], 700.0 - 15 * i, (260.0, 540.0)[s], 710.0 - 15 * i, 0) for i in range(8) for s in (0, 1)]
+    s = spark.createDataFrame(rows, "doc_id string, page_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, heading_level int")
+    pages = spark.createDataFrame([("d", 0, 600.0, 800.0, "", None)], PAGES)
+    blocks = layout.document_layout(pages, s)
+    got = [r.text for r in blocks.orderBy("reading_order").collect()]
+    assert got == [" ".join(f"{c}{i}" for i in range(8)) for c in "LR"]
+    assert '"page_number":1' in layout.layout_json(pages, blocks).first().layout
+
+
+def brute_clusters(boxes, gap):
+    boxes = [tuple(b) for b in boxes]
+    while True:
+        for i, a in enumerate(boxes):
+            j = next((j for j, b in enumerate(boxes) if j > i and a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap), None)
+            if j is not None:
+                b = boxes.pop(j)
+                boxes[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+                break
+        else:
+            return sorted(boxes)
+
+
+def test_clusters_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        a = rng.uniform(0, 300, (25, 2))
+        boxes = np.hstack([a, a + rng.uniform(0, 30, (25, 2))])
+        assert np.allclose(regions.merge_boxes(boxes, 5.0), brute_clusters(boxes, 5.0))
+
+
+def test_chart_table_and_scan(spark):
+    bars = [("chart", 0, i, "path", 100.0 + 20 * i, 100.0, 112.0 + 20 * i, 150.0 + 10 * i) for i in range(14)]
+    grid = [("table", 0, i, "path", 100.0, 100.0 + 30 * i, 400.0, 101.0 + 30 * i) for i in range(12)] + [("table", 0, 20 + i, "path", 100.0 + 60 * i, 100.0, 101.0 + 60 * i, 431.0) for i in range(6)]
+    scan = [("scan", 0, 0, "image", 0.0, 0.0, 600.0, 800.0)]
+    pages = spark.createDataFrame([(d, 0, 600.0, 800.0, "", None) for d in ("chart", "table", "scan")], PAGES)
+    found = regions.detect_regions(pages, spark.createDataFrame(bars + grid + scan, PAGE_OBJECTS), spark.createDataFrame([], CHARS))
+    assert {(r.doc_id, r.kind) for r in found.collect()} == {("chart", "chart"), ("scan", "figure")}
+    models = spark.createDataFrame([("one", 1, ["chart"]), ("two", 2, ["chart", "figure"])], "name string, rank int, kinds array<string>")
+    outputs = spark.createDataFrame([("chart", 0, 0, "one", " "), ("chart", 0, 0, "two", "| t |")], "doc_id string, page_index int, region_order int, name string, markdown string")
+    md = spark.createDataFrame([("chart", 0, "text \n"), ("scan", 0, "")], "doc_id string, page_index int, markdown string")
+    got = {r.doc_id: r for r in regions.fuse_pages(md, regions.dispatch(found, models, outputs)).collect()}
+    assert got["chart"].markdown == "text\n\n| t |" and got["chart"].by_specialist == {"two": 1} and got["scan"].fell_back == 1
+
+
+def test_anchors_stop_at_the_budget(spark):
+    rects = spark.createDataFrame([("d", 0, i, "word", float(i), 2.5) for i in range(5)], "doc_id string, page_index int, rect_index int, text string, x0 double, y0 double")
+    got = anchors.anchors(rects, 25).first().anchors
+    assert got.split("\n") == ["[0,2] word", "[1,2] word", anchors.TRUNCATED]
+
+
+def test_stream_ingest_keeps_errors(spark, tmp_path):
+    rows = [("a", 0, 1.0, 1.0, "x " * 100, None), ("b", 0, None, None, "", "broken")]
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run sees nothing new
+        ingest.start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), available_now=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/pages")).count() == 2
+    assert [r.doc_id for r in ingest.to_redrive(spark, str(tmp_path / "out")).collect()] == ["b"]
