@@ -35,4 +35,5 @@ LABELLED = [
     (30, 0.9, 22, 0.95, 3, 1, 0), (80, 0.02, 6, 1, 7, 1, 0), (5, 1, 6, 1, 5, 1, 0), (14, 0.8, 10, 0.7, 8, 1, 0), (40, 0.03, 18, 0.9, 0, 0, 0), (60, 0.02, 75, 0.05, 90, 0, 1),
     (12, 0, 48, 0.04, 66, 0.02, 1), (45, 0, 33, 0.12, 28, 0.1, 1), (7, 1, 52, 0.02, 61, 0.03, 1), (90, 0, 40, 0.05, 6, 1, 1), (3, 1, 34, 0.06, 41, 0, 1), (25, 0, 110, 0.1, 4, 1, 1),
     (55, 0.05, 21, 0.1, 70, 0, 1), (120, 0.01, 15, 0, 95, 0.02, 1), (18, 0, 27, 0, 44, 0, 1),
+    (1, 1, 36, 0, 24, 0, 1), (2, 1, 30, 0, 2, 1, 1), (1, 1, 45, 0, 60, 0, 1), (4, 1, 28, 0, 35, 0, 1), (2, 1, 70, 0, 12, 0, 1), (5, 1, 40, 0, 0, 0, 1), (1, 1, 25, 0, 40, 0, 1), (3, 1, 55, 0, 20, 0, 1),
 ]
