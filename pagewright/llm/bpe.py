@@ -143,6 +143,8 @@ class PrefixEncoder:
         self.first = _FirstChunks(self)
         # a blank with white space on both sides: only there may cutting at blanks differ from the pattern
         self._odd = regex.compile(r"\s \s").search
+        # line feeds between words: each is a piece, and what is around it can be cut on its own
+        self.lines = regex.compile(r"(?<=\S)\n(?=\S)").split
 
     def clear(self) -> None:
         """Empty all tables that grow with the texts."""
@@ -229,10 +231,9 @@ class _FirstChunks(dict):
             elif chunk[:-1].isalpha() and chunk[-1] in ".,":
                 packed = self[chunk[:-1]] + self.pack(chunk[-1])
             else:
-                line, newline, rest = chunk.partition("\n")
-                if newline and line and rest and not line[-1].isspace() and not rest[0].isspace():
-                    # a line feed between words is a piece: both sides are chunks of their own
-                    return self[line] + self.pack(newline) + self.e.first[rest]
+                line, *rest = self.e.lines(chunk) if "\n" in chunk else (chunk,)
+                if rest:
+                    return self.pack("\n").join([self[line], *map(self.e.first.__getitem__, rest)])
                 packed = b"".join(map(self.pack, self.e.split(self.lead + chunk)))
         if len(chunk) <= LONG_PIECE:
             self[chunk] = packed

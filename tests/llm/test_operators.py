@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
+import base64
 import random
 
 import numpy as np
@@ -41,6 +42,15 @@ def test_bpe_equals_the_public_encoder(spark, encoder, reference_encoding):
         assert encoder.decode(ids) == t
 
 
+def test_bpe_long_runs_of_lines_without_blanks(encoder, reference_encoding):
+    wrapped = base64.encodebytes(random.Random(4).randbytes(200_000)).decode()  # 76 characters a line
+    lines = "\n".join(f"w{i}" for i in range(5000))
+    for t in (lines, wrapped, f"see {lines}\n\n{lines} 'll\n{wrapped}", "a\n\nb\nc\r\nd\n \ne\n's\x1c\nf"):
+        ids = encoder.encode(t)
+        assert ids == reference_encoding.encode_ordinary(t)
+        assert encoder.decode(ids) == t
+
+
 def test_bpe_appends_and_edits_are_exact(encoder):
     rng = random.Random(1)
     parts = ["re", "'", "ve ", " the", "  ", "\n", "word", "é", "12", "!?", " a"]
