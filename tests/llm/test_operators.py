@@ -182,6 +182,25 @@ def test_html(spark):
     assert got[4].n_blocks == 1 and got[5].n_blocks == 1
 
 
+def test_html_keeps_content_on_pages_of_other_layouts():
+    p = lambda n, linked=0: "<p>" + "word " * (n - linked) + "<a>" + "link " * linked + "</a></p>"
+    nav, footer = "<nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav>", "<footer>All rights reserved by us</footer>"
+    assert html_extract.extract(p(500)) == (" ".join(["word"] * 500), 1, 1)
+    for page, kept in (
+        (p(60), [60]),
+        (nav + p(300), [300]),
+        (nav + p(60) + p(90) + p(200), [60, 90, 200]),
+        (nav + p(60) + p(100, 5), [60, 100]),
+        (p(40) + p(90) + p(50), [40, 90, 50]),
+        (nav + p(60, 2) + "<h2>A short heading</h2>" + p(60) + footer, [60, 3, 60]),
+        (p(60) + p(40, 1) + p(12) + p(80) + footer, [60, 40, 12, 80]),
+        (p(60) + p(20, 2) + p(8) + p(80) + footer, [60, 20, 8, 80]),
+        (nav + p(12) + p(9) + p(60) + p(17) + p(10) + footer, [9, 60, 17, 10]),
+        (nav + p(60) + p(50) + "<div><a>one two three four</a></div><div><a>five six</a></div>" + footer, [60, 50]),
+    ):
+        assert [len(b.split()) for b in html_extract.extract(page)[0].split("\n")] == kept
+
+
 @pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_top_k_equals_brute_force(spark, limit):
     rng = np.random.default_rng(2)
