@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact_dedup, html_extract, mixing, repair, sharding, simhash, token_rollup, topk, toxicity
+from pagewright.llm import bpe, exact_dedup, html_extract, mixing, queries, repair, sharding, simhash, token_rollup, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, source string, lang string, rank int, copy string, hash string"
@@ -265,3 +265,13 @@ def test_rollup_is_idempotent(spark, tmp_path):
     r.commit("gone", token_rollup.changes(df, "w", words + 1, -1))
     assert r.totals().count() == 0
     assert r.commit("none", token_rollup.changes(docs(spark, []), "w", words))
+
+
+def test_rollup_query_deletes_just_the_surplus_rows(spark, tmp_path, reference_encoding):
+    # repeated rows; an id with two texts, one a copy; copies without ids; NULL and empty texts
+    rows = [(1, "one two"), (1, "one two"), (2, "three words here"), (3, "three words here"), (3, "a text of its own"), (None, "one two"), (None, "no id"), (None, "no id"), (4, None), (4, None), (5, ""), (6, "")]
+    docs(spark, [t for _, t in rows], [i for i, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    stay = ["one two", "three words here", "a text of its own", "no id", None, None, ""]
+    bpe_tokens = sum(1 + len(reference_encoding.encode_ordinary(t)) for t in stay if t is not None)
+    got = {r.tokenizer: (r.docs, r.tokens) for r in queries.op10_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {"words-1": (7, sum(len((t or "").split()) for t in stay)), "byte-bpe-50k-1": (7, bpe_tokens)}
