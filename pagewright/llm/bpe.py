@@ -351,14 +351,20 @@ def encoder_in_turn(data: bytes) -> PrefixEncoder:
     return e
 
 
+def list_array(values: np.ndarray, lengths: np.ndarray, missing: np.ndarray) -> pa.ListArray:
+    """Runs of ``values`` as Arrow lists of 32-bit integers."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if len(ends) and ends[-1] >= 1 << 31:
+        raise ValueError("over 2^31 ids in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, np.int32)), mask=pa.array(missing, pa.bool_()))
+
+
 def id_lists(packed: list[bytes | None]) -> pa.ListArray:
     """Packed ids of several texts as Arrow lists."""
     lengths = np.fromiter((0 if p is None else len(p) >> 2 for p in packed), np.int64, len(packed))
-    offsets = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(p for p in packed if p))])
-    missing = pa.array([p is None for p in packed], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=missing)
+    return list_array(np.frombuffer(b"".join(p for p in packed if p), np.int32), lengths, np.array([p is None for p in packed], bool))
 
 
 def encode_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:

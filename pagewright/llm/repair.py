@@ -2,11 +2,15 @@
 
 Documents become token ids and are gathered into shards of about ``shard_tokens`` ids. In each
 shard, pairs of neighbouring ids that are frequent are replaced by new ids (nonterminals), again
-and again, until no pair is left that occurs ``min_count`` times. A round counts
-all pairs of the shard and replaces those within a factor ``STEP`` of the most frequent one;
-where two such pairs overlap, the more frequent wins and the other is counted anew in the
-next round. Pairs never reach across documents, so each document keeps a symbol
-sequence of its own.
+and again, until no pair is left that occurs ``min_count`` times. Pairs go in batches: a limit
+falls from the count of the most frequent pair by factors of ``STEP`` to ``min_count``, and all pairs
+that reach it are replaced, those made by the replacements too, before it falls again. Where
+two such pairs overlap, the more frequent wins and the other is counted anew. Pairs never reach
+across documents, so each document keeps a symbol sequence of its own.
+
+All places of a pair come into being in one turn, when the younger of its two symbols is made, and
+only become fewer later. So places are sorted by pair once when they are new, and once more when the limit
+has come down to the count that the pair had then; places that have changed meanwhile are left out.
 
 A shard's rules are stored as left and right parts and expansion lengths. With the lengths any
 range of tokens is found without expanding what lies before it (``Grammar.slice``).
@@ -19,80 +23,52 @@ Output: rows of kind ``document`` (doc_id, n_tokens, symbols) and, for each shar
 ``rules`` (first_rule, lefts, rights, lengths; rule r makes the symbol first_rule + r).
 
 Edge cases: NULL text gives NULL symbols and NULL n_tokens, the empty text an empty sequence. NULL
-and repeated ids are kept, each row is a document. A document longer than a shard fills
+and repeated ids are kept, each row is a document; ids keep their type. A document longer than a shard fills
 one by itself. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pagewright.llm.bpe import DEFAULT_VOCABULARY, LONG_PIECE, PATTERN, id_lists, read_vocabulary, vocabulary
+from pagewright.llm.bpe import DEFAULT_VOCABULARY, PATTERN, id_lists, list_array, read_vocabulary, vocabulary
 from pagewright.llm.common import q, require
+from pagewright.llm.words import in_one_call, lots, tokenise
 
 SHARD_TOKENS = 1_000_000
-MIN_COUNT = 8
-STEP = 16
-CACHE_ENTRIES = 500_000
+#: A rule is three numbers, so it pays from four uses on.
+MIN_COUNT = 4
+STEP = 4
 
 
 # -- ids -------------------------------------------------------------------------------------
 
 
-class _Chunks(dict):
-    """Blank-led chunk -> packed ids."""
-
-    def __init__(self, encoding: tiktoken.Encoding):
-        super().__init__()
-        self.encode = encoding.encode_ordinary
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        packed = self.older.get(chunk)
-        if packed is None:
-            line, newline, rest = chunk.partition("\n")
-            if newline and line and rest and not line[-1].isspace() and not rest[0].isspace():
-                return self[line] + self.pack(newline) + self.pack(rest)
-            if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
-                packed = self[chunk[:-1]] + self.pack(chunk[-1])
-            else:
-                packed = self.pack(" " + chunk)
-        if len(chunk) <= LONG_PIECE:
-            self[chunk] = packed
-        return packed
-
-
-    def pack(self, s: str) -> bytes:
-        return array("i", self.encode(s)).tobytes()
-
-
 class IdSource:
-    """Text -> packed 32-bit ids. Texts are cut at blanks, which the split pattern never joins
-    across, but for blanks between white space; words met before are looked up."""
+    """Texts -> ids, by a public tokenizer library; only distinct words are encoded."""
 
     def __init__(self, data: bytes):
         v = vocabulary(data)
-        self.encoding = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=v, special_tokens={})
-        self.chunks = _Chunks(self.encoding)
-        self.odd = regex.compile(r"\s \s").search
+        self.encode = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=v, special_tokens={}).encode_ordinary
+        self.first_rule = max(v.values()) + 1
+        self.token_bytes = np.zeros(self.first_rule, np.int64)
+        self.token_bytes[list(v.values())] = list(map(len, v))
 
-    def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return array("i", self.encoding.encode_ordinary(text)).tobytes()
-        head, *rest = text.split(" ")
-        return array("i", self.encoding.encode_ordinary(head)).tobytes() + b"".join(map(self.chunks.__getitem__, rest))
+    def pack(self, text: str) -> bytes:
+        return array("i", self.encode(text)).tobytes()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return tokenise(texts, lambda w: in_one_call(w, self.encode, self.token_bytes), lambda h: list(map(self.pack, h)), self.pack)
 
 
 @lru_cache(maxsize=2)
@@ -160,89 +136,140 @@ class Grammar:
         return np.array(out, np.int64)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, Grammar]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, min_count: int = MIN_COUNT, step: int = STEP) -> tuple[np.ndarray, np.ndarray, Grammar]:
     """Symbols, the ends of the documents among them, and the grammar. ``ends`` are the documents'
     ends among ``ids``; ``first`` is above all ids."""
-    seq = ids.astype(np.int32)
-    last = np.zeros(len(seq), bool)  # a document ends here: no pair begins
-    nonempty = ends[np.diff(np.r_[0, ends]) > 0]
-    last[nonempty - 1] = True
+    n = len(ids)
+    present = np.zeros(first, bool)
+    present[ids] = True
+    names = np.flatnonzero(present)  # symbols are numbered without gaps: a pair is a small number
+    seq = (np.cumsum(present, dtype=np.int32) - 1)[ids]
+    begins = np.r_[0, ends[:-1]] if len(ends) else ends
+    full = ends > begins
+    # the sequence is a linked list: nothing is moved when a symbol goes
+    after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n, dtype=np.int64)
+    after[ends[full] - 1], before[begins[full]] = n, -1
+    gone_at = np.iinfo(np.int32).max
+    changed = np.zeros(n, np.int32)  # the turn that last changed the pair at a place
+    taken = np.zeros(n, bool)
+    new = np.flatnonzero(after < n)
     lefts, rights = [], []
-    length = np.ones(first, np.int64)
-    made = 0
-    while len(seq) > 1:
-        base = first + made
-        word = np.uint32 if base <= 65536 else np.uint64  # half the bytes sort twice as fast
-        key = seq[:-1].astype(word) * word(base) + seq[1:].astype(word)
-        free = ~last[:-1]
-        ordered = np.sort(key[free])
-        if not len(ordered):
-            break
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[starts, len(ordered)])
-        top = int(counts.max())
-        if top < min_count:
-            break
-        often = counts >= max(min_count, top // STEP)
-        chosen, n = ordered[starts[often]], counts[often]
-        rank_of = np.argsort(np.argsort(-n, kind="stable"), kind="stable")
-        # where a chosen pair may begin: cheap tests on its parts first
-        chosen_left, chosen_right = (chosen // word(base)).astype(np.int64), (chosen % word(base)).astype(np.int64)
-        is_left, is_right = np.zeros(base, bool), np.zeros(base, bool)
-        is_left[chosen_left] = True
-        is_right[chosen_right] = True
-        at = np.flatnonzero(free & is_left[seq[:-1]] & is_right[seq[1:]])
-        ls, rs = np.flatnonzero(is_left), np.flatnonzero(is_right)
-        if len(ls) * len(rs) <= 4_000_000:
-            row, col = np.zeros(base, np.int32), np.zeros(base, np.int32)
-            row[ls], col[rs] = np.arange(len(ls)) * len(rs), np.arange(len(rs))
-            grid = np.full(len(ls) * len(rs), -1, np.int32)
-            grid[row[chosen_left] + col[chosen_right]] = np.arange(len(chosen))
-            which = grid[row[seq[at]] + col[seq[at + 1]]]
-            hit = which >= 0
-        else:
-            which = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-            hit = chosen[which] == key[at]
-        at, which = at[hit], which[hit]
-        at, which = _apart(at, which, rank_of)
-        used = np.bincount(which, minlength=len(chosen))
-        worth = used >= 2
-        name = np.cumsum(worth) - 1 + base
-        ok = worth[which]
-        at, which = at[ok], which[ok]
-        if not len(at):
-            break  # cannot be: the most frequent pair is always replaced
-        new_left, new_right = chosen_left[worth], chosen_right[worth]
-        length = np.r_[length, length[new_left] + length[new_right]]
-        lefts.append(new_left)
-        rights.append(new_right)
-        made += int(worth.sum())
-        seq[at] = name[which]
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-    new_ends = np.zeros(len(ends), np.int64)
-    borders = np.flatnonzero(last) + 1
-    new_ends[np.diff(np.r_[0, ends]) > 0] = borders
-    new_ends = np.maximum.accumulate(new_ends) if len(new_ends) else new_ends
+    base, turn = len(names), 0
+    limits: list[int] = []
+    put_off: list[list[tuple[int, np.ndarray]]] = []
+    level = 0
+    while len(new) or level + 1 < len(limits):
+        turn += 1
+        if not len(new):
+            level += 1
+            parts = [p[changed[p] <= t] for t, p in put_off[level]]
+            put_off[level] = []
+            new = np.concatenate(parts) if parts else new
+            continue
+        key, p = _sorted_pairs(seq[new], seq[after[new]], new, base)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[starts, len(key)])
+        if not limits:
+            limits = [max(min_count, int(counts.max()) // step)]
+            while limits[-1] > min_count:
+                limits.append(max(min_count, limits[-1] // step))
+            put_off = [[] for _ in limits]
+        at_level = np.searchsorted(-np.array(limits), -counts, "left")
+        for later in np.unique(at_level[(at_level > level) & (counts >= min_count)]).tolist():
+            put_off[later].append((turn, p[np.repeat(at_level == later, counts)]))
+        often = at_level <= level
+        chosen, many = key[starts[often]], counts[often]
+        every = p[np.repeat(often, counts)]
+        where, of = _runs_apart(*_by_place(every, many), after)
+        many = np.bincount(of, minlength=len(chosen))
+        where, of = _apart(where[many[of] >= 2], of[many[of] >= 2], after, many)
+        worth = np.bincount(of, minlength=len(chosen)) >= 2
+        if not worth.all():
+            keep = worth[of]
+            where, of = where[keep], of[keep]
+        if not len(where):
+            new = where
+            continue
+        name = (np.cumsum(worth) - 1 + base).astype(np.int32)
+        lefts.append(chosen[worth] // base)
+        rights.append(chosen[worth] % base)
+        base += int(worth.sum())
+        gone = after[where]
+        then = after[gone]
+        seq[where] = name[of]
+        after[where], before[then] = then, where
+        prev = before[where]
+        prev = prev[prev >= 0]
+        changed[prev] = changed[where] = turn + 1
+        changed[gone] = gone_at
+        taken[where] = True
+        # what lost its place to a pair that then was not worth a rule is looked at again
+        new = np.concatenate([where, prev[~taken[prev]], every[changed[every] <= turn]])
+        taken[where] = False
+        new = new[after[new] < n]
+    stay = changed < gone_at
+    to_id = np.concatenate([names, np.arange(first, first + base - len(names))])
     none = [np.zeros(0, np.int64)]
-    return seq, new_ends, Grammar(first, np.concatenate(lefts or none), np.concatenate(rights or none), length[first:])
-
-
-def _apart(at: np.ndarray, which: np.ndarray, rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the places that overlap no better one."""
+    left, right = (to_id[np.concatenate(x or none)] for x in (lefts, rights))
+    return to_id[seq[stay]], np.r_[0, np.cumsum(stay)][ends], Grammar(first, left, right, _lengths(first, left, right, [len(x) for x in lefts]))
+
+
+def _lengths(first: int, left: np.ndarray, right: np.ndarray, turns: list[int]) -> np.ndarray:
+    length, at = np.ones(first + len(left), np.int64), 0
+    for n in turns:  # the rules of a turn are made of those before it
+        length[first + at : first + at + n] = length[left[at : at + n]] + length[right[at : at + n]]
+        at += n
+    return length[first:]
+
+
+def _sorted_pairs(a: np.ndarray, b: np.ndarray, place: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as numbers a * base + b in order, and the place of each."""
+    key = a.astype(np.uint64)
+    key *= np.uint64(base)
+    key += b.astype(np.uint64)
+    if base <= 65536 and (not len(place) or int(place.max()) < 1 << 32):  # pair and place fit one word: sorting plain words is fastest
+        key <<= np.uint64(32)
+        key |= place.astype(np.uint64)
+        key.sort()
+        return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((place, key))
+    return key[order].astype(np.int64), place[order]
+
+
+def _by_place(places: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order and, for each, which of the pairs (``many`` places each) is there."""
+    of = np.repeat(np.arange(len(many)), many)
+    if len(places) and int(places.max()) >= 1 << 32:
+        order = np.argsort(places, kind="stable")
+        return places[order], of[order]
+    word = places.astype(np.uint64) << np.uint64(32)
+    word |= of.astype(np.uint64)
+    word.sort()
+    return (word >> np.uint64(32)).astype(np.int64), (word & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _runs_apart(at: np.ndarray, which: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places without those where a pair of one symbol overlaps itself: of a run every second stays."""
     if len(at) < 2:
         return at, which
-    touch = at[1:] == at[:-1] + 1
-    same = touch & (which[1:] == which[:-1])
-    if same.any():  # a run of one id: every second place
+    same = (at[1:] == after[at[:-1]]) & (which[1:] == which[:-1])
+    if same.any():
         i = np.arange(len(at))
         begin = np.maximum.accumulate(np.where(np.r_[True, ~same], i, 0))
         even = (i - begin) % 2 == 0
         at, which = at[even], which[even]
-        touch = at[1:] == at[:-1] + 1
-    r = rank_of[which]
+    return at, which
+
+
+def _apart(at: np.ndarray, which: np.ndarray, after: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places that overlap no better one: of two pairs the more frequent, at a tie the
+    one that comes first."""
+    if len(at) < 2:
+        return at, which
+    rank = np.empty(len(many), np.int64)
+    rank[np.argsort(-many, kind="stable")] = np.arange(len(many))
+    touch = at[1:] == after[at[:-1]]
+    r = rank[which]
     good = np.ones(len(at), bool)
     good[1:] &= ~touch | (r[1:] < r[:-1])
     good[:-1] &= ~touch | (r[:-1] < r[1:])
@@ -251,22 +278,54 @@ def _apart(at: np.ndarray, which: np.ndarray, rank_of: np.ndarray) -> tuple[np.n
 
 # -- shards ----------------------------------------------------------------------------------
 
-SCHEMA = "shard bigint, kind string, doc_id bigint, n_tokens bigint, symbols array<int>, first_rule int, lefts array<int>, rights array<int>, lengths array<int>"
-_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_REST = "n_tokens bigint, symbols array<int>, first_rule int, lefts array<int>, rights array<int>, lengths array<int>"
 _INTS = pa.list_(pa.int32())
 
 
-def _shard(shard: int, ids: list, packed: list[bytes | None], first: int, min_count: int):
-    sizes = np.array([0 if p is None else len(p) >> 2 for p in packed], np.int64)
-    seq, ends, g = compress(np.frombuffer(b"".join(p for p in packed if p), np.int32), np.cumsum(sizes), first, min_count)
-    begins = np.r_[0, ends[:-1]] if len(ends) else ends
-    raw = seq.astype("<i4")
-    symbols = id_lists([None if p is None else raw[a:b].tobytes() for p, a, b in zip(packed, begins, ends)])
-    n = len(ids)
-    nothing = lambda kind: pa.nulls(n, kind)
-    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(["document"] * n), pa.array(ids, pa.int64()), pa.array([None if p is None else int(s) for p, s in zip(packed, sizes)], pa.int64()), symbols, nothing(pa.int32()), nothing(_INTS), nothing(_INTS), nothing(_INTS)], _NAMES)
+def output_schema(id_kind: str = "bigint") -> str:
+    return f"shard bigint, kind string, doc_id {id_kind}, {_REST}"
+
+
+def _shard(shard: int, ids: pa.Array, missing: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, first: int, min_count: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in output_schema().split(", ")]
+    seq, ends, g = compress(tokens, np.cumsum(sizes), first, min_count)
+    n, nothing = len(ids), pa.nulls
+    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(["document"] * n), ids, pa.array(sizes, pa.int64(), mask=missing), list_array(seq, np.diff(np.r_[0, ends]), missing), nothing(n, pa.int32()), *[nothing(n, _INTS)] * 3], names)
     rules = [pa.array([x.astype(np.int32)], _INTS) for x in (g.left, g.right, g.length)]
-    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array(["rules"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, _INTS), pa.array([first], pa.int32()), *rules], _NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array(["rules"]), nothing(1, ids.type), nothing(1, pa.int64()), nothing(1, _INTS), pa.array([first], pa.int32()), *rules], names)
+
+
+class _Shards:
+    """Gathers documents until a shard is full."""
+
+    def __init__(self, make: IdSource, shard_tokens: int, min_count: int):
+        self.make, self.full, self.min_count = make, shard_tokens, min_count
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+        """The arguments of each shard that became full."""
+        at = 0
+        for lot in lots(texts):
+            tokens, sizes = self.make(lot)
+            missing = lot.is_null().to_numpy(zero_copy_only=False)
+            upto = np.cumsum(sizes)
+            a = 0  # documents and tokens of the lot that have been handed on
+            while a < len(lot):
+                begun = int(upto[a - 1]) if a else 0
+                b = min(int(np.searchsorted(upto, begun + self.full - self.size, "left")) + 1, len(lot))
+                stop = int(upto[b - 1])
+                self.held.append((ids.slice(at + a, b - a), missing[a:b], tokens[begun:stop], sizes[a:b]))
+                self.size += stop - begun
+                a = b
+                if self.size >= self.full:
+                    yield self.take()
+            at += len(lot)
+
+    def take(self) -> tuple:
+        ids, missing, tokens, sizes = zip(*self.held)
+        self.held, self.size = [], 0
+        return pa.concat_arrays(ids), np.concatenate(missing), np.concatenate(tokens), np.concatenate(sizes), self.make.first_rule, self.min_count
 
 
 def compress_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shard: str | None = None, vocabulary_path: str = DEFAULT_VOCABULARY, shard_tokens: int = SHARD_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
@@ -275,45 +334,40 @@ def compress_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     if min_count < 2:
         raise ValueError("min_count is at least 2")
     data = read_vocabulary(vocabulary_path)
-
-    def first_rule() -> int:
-        return max(vocabulary(data).values()) + 1
+    schema = output_schema(df.select(q(doc_id)).schema[0].dataType.simpleString())
 
     if shard:
+        id_type = to_arrow_type(df.select(q(doc_id)).schema[0].dataType)
 
         def group(t: pa.Table) -> pa.Table:
-            make = id_source(data)
-            packed = [None if x is None else make(x) for x in t.column(2).to_pylist()]
-            name = t.column(0)[0].as_py()
-            return pa.Table.from_batches(list(_shard(name, t.column(1).to_pylist(), packed, first_rule(), min_count))).cast(_arrow())
+            all_ = _Shards(id_source(data), 1 << 62, min_count)
+            for b in t.to_batches():
+                for _ in all_.add(b.column(1), b.column(2)):
+                    pass
+            return pa.Table.from_batches(list(_shard(t.column(0)[0].as_py(), *all_.take()))).cast(_arrow(id_type))
 
-        rows = df.select(q(shard).cast("bigint").alias("shard"), q(doc_id).cast("bigint").alias("doc_id"), q(text).alias("text"))
-        return rows.groupBy("shard").applyInArrow(group, SCHEMA)
+        rows = df.select(q(shard).cast("bigint").alias("shard"), q(doc_id).alias("doc_id"), q(text).alias("text"))
+        return rows.groupBy("shard").applyInArrow(group, schema)
 
     def partition(batches):
-        make = id_source(data)
-        ids, packed, size, number, name = [], [], 0, 0, 0
+        gather = _Shards(id_source(data), shard_tokens, min_count)
+        number, name = 0, 0
         for b in batches:
             name = b.column(0)[0].as_py() if b.num_rows else name
-            for k in range(0, b.num_rows, 256):
-                for i, t in zip(b.column(1).slice(k, 256).to_pylist(), b.column(2).slice(k, 256).to_pylist()):
-                    p = None if t is None else make(t)
-                    ids.append(i)
-                    packed.append(p)
-                    size += 0 if p is None else len(p) >> 2
-                    if size >= shard_tokens:
-                        yield from _shard((name << 32) + number, ids, packed, first_rule(), min_count)
-                        ids, packed, size, number = [], [], 0, number + 1
-        if ids:
-            yield from _shard((name << 32) + number, ids, packed, first_rule(), min_count)
-
-    rows = df.select(F.spark_partition_id().cast("bigint").alias("part"), q(doc_id).cast("bigint").alias("doc_id"), q(text).alias("text"))
-    return rows.mapInArrow(partition, SCHEMA)
-
-
-def _arrow() -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": _INTS}
-    return pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(_NAMES, SCHEMA.split(", "))])
+            for full in gather.add(b.column(1), b.column(2)):
+                yield from _shard((name << 32) + number, *full)
+                number += 1
+        if gather.held:
+            yield from _shard((name << 32) + number, *gather.take())
+
+    rows = df.select(F.spark_partition_id().cast("bigint").alias("part"), q(doc_id).alias("doc_id"), q(text).alias("text"))
+    return rows.mapInArrow(partition, schema)
+
+
+def _arrow(id_type: pa.DataType) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<int>": _INTS}
+    rest = [(c.split()[0], kinds[c.split()[1]]) for c in _REST.split(", ")]
+    return pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("doc_id", id_type), *rest])
 
 
 def decompress(df: DataFrame) -> DataFrame:
