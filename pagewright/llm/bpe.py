@@ -11,8 +11,8 @@ A worker keeps the ids of the pieces that it met lately, within a fixed number o
 Vocabulary files are read on the driver
 (their path is a parameter) and sent with the task; their size does not depend on the data.
 
-Edge cases: NULL text gives NULL ids, the empty text an empty array, NULL ids decode to
-NULL. Ids that form no valid UTF-8 are decoded with U+FFFD in place of the bad bytes; an
+Edge cases: NULL text gives NULL ids, the empty text an empty array, NULL ids and arrays that
+hold a NULL decode to NULL. Ids that form no valid UTF-8 are decoded with U+FFFD in place of the bad bytes; an
 id outside the vocabulary is an error. Texts of any length are taken whole. Other columns
 pass through; an input column named like an output column is replaced.
 """
@@ -27,11 +27,14 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import q, require, take_turn, without
+from pagewright.llm.common import fresh, q, require, take_turn, without
+from pagewright.llm.prefix import PrefixTables
+from pagewright.llm.words import gathered, in_one_call, lots, tokenise
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MULTI_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -41,6 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_ENTRIES = 150_000
 #: Pieces longer than this are encoded by a scan with its own prefix table.
 LONG_PIECE = 96
+#: Bytes of text whose ids are made, and decoded, at once.
+LOT_BYTES = 4 << 20
 
 
 class Vocabulary:
@@ -63,12 +68,16 @@ class Vocabulary:
         self.length = {i: len(b) for i, b in self.token.items()}
         self.base = max(self.token) + 1
         self.by_id = np.array([self.token.get(i, b"") for i in range(self.base)], object)
+        self.bytes = np.frombuffer(b"".join(self.by_id), np.uint8)
+        self.n_bytes = np.fromiter(map(len, self.by_id), np.int64, self.base)
+        self.bytes_from = np.cumsum(self.n_bytes) - self.n_bytes
         #: Pairs that ``follows`` has decided, by left * base + right.
         self.known: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.tables = PrefixTables(ranks, self._split, self._merge)
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two parts that the merge to ``token`` joins; (rank, rank) if merges never reach it."""
@@ -202,6 +211,34 @@ class PrefixEncoder:
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.chunks.__getitem__, rest))
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text's ids."""
+        return tokenise(texts, self._words, lambda words: list(map(self.first.__getitem__, words)), self.encode_packed)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return in_one_call(words, self._pieces, self.v.n_bytes)
+
+    def _pieces(self, text: str) -> np.ndarray:
+        """The ids of a text: its distinct pieces are encoded together, the long ones one by one."""
+        coded = pa.array(self.split(text), pa.string()).dictionary_encode()
+        distinct = coded.dictionary
+        n = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        short, long_ = np.flatnonzero(n <= LONG_PIECE), np.flatnonzero(n > LONG_PIECE)
+        data = b"".join(distinct.take(pa.array(short)).cast(pa.binary()).to_numpy(zero_copy_only=False))
+        ids, sizes = self.v.tables.encode(np.frombuffer(data, np.uint8), n[short])
+        more = [self.piece_ids(distinct[i].as_py().encode("utf-8")) for i in long_.tolist()]
+        counts = np.zeros(len(n), np.int64)
+        counts[short], counts[long_] = sizes, [len(m) for m in more]
+        starts = np.zeros(len(n), np.int64)
+        order = np.r_[short, long_]
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        return gathered(np.concatenate([ids, *(np.array(m, np.int32) for m in more)]), starts[codes], counts[codes])
+
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids."""
+        return gathered(self.v.bytes, self.v.bytes_from[ids], self.v.n_bytes[ids])
+
     def decode(self, ids) -> str:
         """The text of a list or array of ids."""
         ids = np.asarray(ids, np.int64)
@@ -374,15 +411,15 @@ def encode_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     @F.arrow_udf("array<int>")
     def encode_ids(batch: pa.Array) -> pa.Array:
         e = encoder_in_turn(data)
-        return id_lists([None if t is None else e.encode_packed(t) for t in _each(batch)])
+        parts = [e.encode_array(lot) for lot in lots(batch, LOT_BYTES)]
+        return _as_lists(batch, parts)
 
     return encode_ids(text)
 
 
-def _each(batch: pa.Array):
-    """The values one after the other, made in small lots: a batch may hold many long texts."""
-    for k in range(0, len(batch), 256):
-        yield from batch.slice(k, 256).to_pylist()
+def _as_lists(texts: pa.Array, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    ids, sizes = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return list_array(ids, sizes, texts.is_null().to_numpy(zero_copy_only=False))
 
 
 def decode_column(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
@@ -398,14 +435,31 @@ def decode_column(ids: Column, path: str = DEFAULT_VOCABULARY) -> Column:
 
 
 def _decoded(batch: pa.ListArray, e: PrefixEncoder) -> list[str | None]:
-    flat = batch.flatten().to_numpy(zero_copy_only=False)
+    flat = batch.flatten()
+    holes = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+    ids = flat.fill_null(0).to_numpy(zero_copy_only=False)
     out, at = [], 0
     for n in batch.value_lengths().to_pylist():
-        out.append(None if n is None else e.decode(flat[at : at + n]))
+        whole = n is not None and np.searchsorted(holes, at) == np.searchsorted(holes, at + n)
+        out.append(e.decode(ids[at : at + n]) if whole else None)
         at += n or 0
     return out
 
 
+def same_as_decoded(texts: pa.Array, ids: np.ndarray, sizes: np.ndarray, e: PrefixEncoder) -> np.ndarray:
+    """Whether the ids of each text decode to its bytes."""
+    got, had = e.decode_bytes(ids), np.frombuffer(b"".join(texts.fill_null("").cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+    upto = np.r_[0, np.cumsum(e.v.n_bytes[ids])][np.cumsum(sizes)]
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    if (upto == ends).all():
+        wrong = np.searchsorted(ends, np.flatnonzero(got != had), "right")
+        same = np.ones(len(texts), bool)
+        same[wrong] = False
+        return same
+    a, b = np.r_[0, upto[:-1]], np.r_[0, ends[:-1]]
+    return np.array([got[i:j].tobytes() == had[k:l].tobytes() for i, j, k, l in zip(a, upto, b, ends)], bool)
+
+
 def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """``token_ids`` and ``round_trip``, whether decoding them gives the text again; both in one
     pass, where two columns would encode twice."""
@@ -414,16 +468,25 @@ def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     @F.arrow_udf("struct<token_ids: array<int>, round_trip: boolean>")
     def there_and_back(batch: pa.Array) -> pa.Array:
         e = encoder_in_turn(data)
-        packed, same = [], []
-        for t in _each(batch):
-            p = None if t is None else e.encode_packed(t)
-            packed.append(p)
-            same.append(None if p is None else e.decode(np.frombuffer(p, np.int32)) == t)
-        return pa.StructArray.from_arrays([id_lists(packed), pa.array(same, pa.bool_())], ["token_ids", "round_trip"])
+        parts, same = [], [np.zeros(0, bool)]
+        for lot in lots(batch, LOT_BYTES):
+            parts.append(e.encode_array(lot))
+            same.append(same_as_decoded(lot, *parts[-1], e))
+        agree = pa.array(np.concatenate(same), pa.bool_(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([_as_lists(batch, parts), agree], ["token_ids", "round_trip"])
 
     return there_and_back(text)
 
 
+def encode_and_decode(df: DataFrame, text: str = "text", ids: str = "token_ids", same: str = "round_trip", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``df`` with the token ids of ``text`` and whether they decode to it."""
+    require(df, text)
+    kept = without(df, ids, same).columns
+    (r,) = fresh(df, "r")
+    coded = df.select(*[q(c) for c in kept], round_trip_column(q(text), path).alias(r))
+    return coded.select(*[q(c) for c in kept], q(r)["token_ids"].alias(ids), q(r)["round_trip"].alias(same))
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` with the token ids of ``text`` in ``out``."""
     require(df, text)

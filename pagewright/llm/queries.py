@@ -11,8 +11,8 @@ from pagewright.llm.common import materialise, scratch_path, table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip_column(F.col("text")).alias("r"))
-    return docs.select("doc_id", "r.token_ids", F.size("r.token_ids").alias("n_tokens"), "r.round_trip")
+    docs = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
 
 
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
