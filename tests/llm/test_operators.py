@@ -201,6 +201,18 @@ def test_html_keeps_content_on_pages_of_other_layouts():
         assert [len(b.split()) for b in html_extract.extract(page)[0].split("\n")] == kept
 
 
+def brute_top_k(v, asking, k):
+    s = np.array([[float(np.cumsum(a * b)[-1]) for b in v] for a in v])
+    return {i: [(j, s[i, j]) for j in sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[i, j], j))[:k]] for i in asking}
+
+
+def collected(df):
+    got = {}
+    for r in df.orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbor_id)
+    return got
+
+
 @pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_top_k_equals_brute_force(spark, limit):
     rng = np.random.default_rng(2)
@@ -209,17 +221,23 @@ def test_top_k_equals_brute_force(spark, limit):
     v[20] = 0
     rows = [(i, x.tolist(), "z") for i, x in enumerate(v)] + [(None, [1.0] * 6, ""), (900, None, ""), (901, [], ""), (902, [float("nan")] * 6, ""), (903, [1.0, 2.0], ""), (3, v[3].tolist(), "")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
-    got = {}
-    for r in topk.top_k(df, 5, bucket_rows=40, broadcast_bytes=limit).collect():
-        got.setdefault(r.vec_id, {})[r["rank"]] = (r.neighbor_id, r.score)
-    s = np.round(v.astype(float) @ v.astype(float).T, topk.DECIMALS)
-    assert len(got) == 150
-    for i in range(150):
-        best = sorted((j for j in range(150) if j != i), key=lambda j: (-s[i, j], j))[:5]
-        assert [got[i][k + 1][0] for k in range(5)] == best
+    brute = brute_top_k(v.astype(float), range(150), 5)
+    got = collected(topk.top_k(df, 5, bucket_rows=20, block_rows=16, broadcast_bytes=limit))
+    assert got == {i: [j for j, _ in b] for i, b in brute.items()}
+    asked = topk.top_k(df, 5, queries=F.expr("vec_id % 20 = 0"), bucket_rows=20, block_rows=3, broadcast_bytes=limit)
+    assert collected(asked) == {i: got[i] for i in range(0, 150, 20)}
+    first = asked.where("vec_id = 40 AND rank = 1").first()
+    assert (first.neighbor_id, first.score) == (brute[40][0][0], round(brute[40][0][1], topk.DECIMALS))
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_tiny_doubles_and_names(spark):
+    v = np.random.default_rng(7).normal(size=(60, 4)) * 1e-4
+    brute = brute_top_k(v, range(60), 3)
+    df = spark.createDataFrame([(f"n{i:03}", x.tolist()) for i, x in enumerate(v)], "vec_id string, embedding array<double>")
+    assert collected(topk.top_k(df, 3, bucket_rows=10, block_rows=10)) == {f"n{i:03}": [f"n{j:03}" for j, _ in b] for i, b in brute.items()}
+
+
 # -- 8, 9, 10 --------------------------------------------------------------------------------
 
 
