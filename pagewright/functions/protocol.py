@@ -1,19 +1,22 @@
 """Replies of page models: front matter, degenerate text, JSON, linearised tables, score reports.
 
-All are column expressions, but for the trimming of a repeated tail, which walks back over the raw
-text and is an Arrow function that only flagged rows reach.
+All are column expressions, but for degenerate text, which is an Arrow function: a repeated tail takes
+comparing a text with itself, for which expressions have no loop.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import SPACE, collapse, strip
+from pagewright.functions.text import strip
 
 ROTATIONS = (0, 90, 180, 270)
 SPIRAL = r"[ \t]{200,}|(?:\r?\n){40,}"
@@ -33,19 +36,27 @@ def front_matter_parts(content: Column) -> Column:
     return F.struct(header.alias("header"), body.alias("body"))
 
 
-def header_value(header: Column, key: str) -> Column:
-    """The trimmed text after ``key:``, of the last such line; NULL without one. Quotes go."""
+def header_raw(header: Column, key: str) -> Column:
+    """What stands after ``key:`` in the last such line, trimmed, a comment cut off; NULL without a line."""
     lines = F.regexp_extract_all(header, F.lit(rf"(?m)^[ \t]*{key}[ \t]*:[ \t]*(.*?)[ \t]*$"), F.lit(1))
     value = F.element_at(lines, -1)
-    return F.when(F.size(lines) > 0, F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2"))
+    bare = F.regexp_replace(value, r"(^|[ \t]+)#.*$", "")
+    quoted = F.regexp_extract(value, r"""^(("[^"]*")|('[^']*'))""", 1)
+    return F.when(F.size(lines) > 0, F.when(quoted != "", quoted).otherwise(bare))
 
 
-def as_flag(value: Column, default: bool) -> Column:
-    """true, yes, on and 1-as-text are true; a bare number or nothing is the default; other text is
-    false. A bare ``1`` is a number to a YAML reader."""
-    v = F.lower(value)
+def unquoted(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")
+
+
+def as_flag(raw: Column, default: bool) -> Column:
+    """Of bare words true, yes and on are true and a number or nothing is the default, as a YAML reader
+    has it; of quoted ones true, yes and 1 are true. Other text is false."""
+    v = F.lower(raw)
+    quoted = F.regexp_extract(v, r"""^["'](.*)["']$""", 1)
     return (
-        F.when(value.isNull() | (v == "") | v.isin("null", "~"), F.lit(default))
+        F.when(raw.isNull() | (v == "") | v.isin("null", "~"), F.lit(default))
+        .when(v.rlike(r"""^(".*"|'.*')$"""), F.trim(quoted).isin("true", "yes", "1"))
         .when(v.rlike(r"^[-+]?[0-9][0-9_]*(\.[0-9]*)?$"), F.lit(default))
         .otherwise(v.isin("true", "yes", "on"))
     )
@@ -56,94 +67,144 @@ def as_rotation(value: Column) -> Column:
     return F.when(n.isin(*ROTATIONS), n).otherwise(F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` planned and made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def page_response(content: Column) -> Column:
     """struct<primary_language, is_rotation_valid, rotation_correction, is_table, is_diagram, natural_text>."""
-    parts = front_matter_parts(content)
-    h, body = parts["header"], parts["body"]
-    language = header_value(h, "primary_language")
-    # words that a YAML 1.1 reader takes for booleans, nulls or numbers are no language
-    no_language = F.lower(language).isin("null", "none", "", "~", "no", "yes", "on", "off", "true", "false") | language.rlike(r"^[-+]?[0-9]+(\.[0-9]*)?$")
-    return F.struct(
-        F.when(~no_language, language).alias("primary_language"),
-        as_flag(header_value(h, "is_rotation_valid"), True).alias("is_rotation_valid"),
-        as_rotation(header_value(h, "rotation_correction")).alias("rotation_correction"),
-        as_flag(header_value(h, "is_table"), False).alias("is_table"),
-        as_flag(header_value(h, "is_diagram"), False).alias("is_diagram"),
-        F.nullif(body, F.lit("")).alias("natural_text"),
-    )
+    keys = ("primary_language", "is_rotation_valid", "rotation_correction", "is_table", "is_diagram")
+
+    def response(r: Column) -> Column:
+        language = unquoted(r["primary_language"])
+        # words that a YAML 1.1 reader takes for booleans, nulls or numbers are no language
+        no_language = F.lower(language).isin("null", "none", "", "~", "no", "yes", "on", "off", "true", "false") | language.rlike(r"^[-+]?[0-9]+(\.[0-9]*)?$")
+        return F.struct(
+            F.when(~no_language, language).alias("primary_language"),
+            as_flag(r["is_rotation_valid"], True).alias("is_rotation_valid"),
+            as_rotation(unquoted(r["rotation_correction"])).alias("rotation_correction"),
+            as_flag(r["is_table"], False).alias("is_table"),
+            as_flag(r["is_diagram"], False).alias("is_diagram"),
+            F.nullif(r["body"], F.lit("")).alias("natural_text"),
+        )
+
+    raw = lambda p: F.struct(*[header_raw(p["header"], k).alias(k) for k in keys], p["body"].alias("body"))
+    return bound(bound(front_matter_parts(content), raw), response)
 
 
 # -- degenerate text -------------------------------------------------------------------------
 
+_REPORT = "detected: boolean, kind: string, ngram_size: int, repeats: int, span: int"
+_SOUND = (False, "", 0, 0, 0)
+_SPIRAL, _BLANKS, _BLANK = re.compile(SPIRAL), re.compile(r"\s+"), re.compile(r"\s")
 
-def repeats_at_end(text: Column, size: int) -> Column:
-    """How often the last ``size`` characters repeat back to back at the end."""
-    n = F.length(text)
-    unit = F.right(text, F.lit(size))
-    count = lambda: F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor(n / size), F.lit(1)).cast("int")),
-        F.lit(0),
-        lambda done, k: F.when((done == k - 1) & (F.substr(text, n - k * size + 1, F.lit(size)) == unit), k).otherwise(done),
-    )
-    return F.when(n >= size, count()).otherwise(0)
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def loop_size(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span: int = 200) -> Column:
-    """The n-gram size whose repeated tail is longest, the smaller at a tie; NULL without a loop.
 
-    A size qualifies iff the tail of k = max(repeats, ceil(span / size)) units is k times the last unit;
-    only qualifying sizes have their repeats counted.
-    """
-    sizes = [(n, max(min_repeats, 3, -(-min_span // n))) for n in range(1, ngram_size + 1)]
-    reach = max(n * k for n, k in sizes)
+def _tail(text: str, reach: int) -> str:
+    """The last ``reach`` characters of the collapsed text; only the end of the text is looked at."""
+    window = 2 * reach
+    while True:
+        part = text[-window:]
+        tail = _BLANKS.sub(" ", part)
+        # the first blank of a part may be one with what is before it
+        if len(part) == len(text) or len(tail) > reach:
+            return tail[-reach:]
+        window *= 4
 
-    def tests(x: Column) -> Column:
-        c, tail = x["c"], x["tail"]
-        found = [F.when((F.length(tail) >= n * k) & (F.right(tail, F.lit(n * k)) == F.repeat(F.right(tail, F.lit(n)), k)), F.struct((repeats_at_end(c, n) * n).alias("span"), F.lit(-n).alias("minus"))) for n, k in sizes]
-        return F.array_max(F.array_compact(F.array(*found)))
 
-    # as variables of a lambda the collapsed text and its tail are made once, not for each size
-    whole = F.transform(F.array(collapse(text)), lambda c: F.struct(c.alias("c"), F.right(c, F.lit(reach)).alias("tail")))
-    return F.get(F.transform(whole, tests), F.lit(0))
+def _looping(tail: str, units: tuple[tuple[int, int], ...]) -> list[int]:
+    return [n for n, k in units if len(tail) >= n * k and tail.endswith(tail[len(tail) - n :] * k)]
 
 
-def degenerate(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span: int = 200) -> Column:
-    """struct<detected, kind, ngram_size, repeats, span>: white-space spirals first, else the
-    longest repeated tail."""
-    spiral = F.regexp_extract(text, f"({SPIRAL})", 1)
-    found = F.length(spiral) > 0
-    report = lambda best: _report(spiral, found, best, -best["minus"])
-    return F.get(F.transform(F.array(loop_size(text, ngram_size, min_repeats, min_span)), report), F.lit(0))
-
-
-def _report(spiral: Column, found: Column, best: Column, size: Column) -> Column:
-    return F.struct(
-        (F.coalesce(found, F.lit(False)) | best.isNotNull()).alias("detected"),
-        F.when(found, "whitespace_spiral").when(best.isNotNull(), "repetition_loop").otherwise("").alias("kind"),
-        F.when(found | best.isNull(), 0).otherwise(size).alias("ngram_size"),
-        F.when(found | best.isNull(), 0).otherwise((best["span"] / size).cast("int")).alias("repeats"),
-        F.when(found, F.length(spiral)).when(best.isNotNull(), best["span"]).otherwise(0).alias("span"),
-    )
+def longest_loop(text: str, units: tuple[tuple[int, int], ...], reach: int) -> tuple[int, int] | None:
+    """Size and repeats of the repeated end that is longest, the smaller size at a tie. ``units`` are the
+    sizes and how often each has to repeat; it takes one comparison of the text with itself for a size that does."""
+    sizes = _looping(_tail(text, reach), units)
+    if not sizes:
+        return None
+    codes = _codes(_BLANKS.sub(" ", text))
+    found = []
+    for n in sizes:
+        off = np.flatnonzero(codes[n:] != codes[:-n])
+        same = len(codes) - n - (int(off[-1]) + 1 if len(off) else 0)
+        found.append((n * (1 + same // n), -n))
+    span, minus = max(found)
+    return -minus, span // -minus
 
 
-def _trim_loop(text: str, size: int) -> str:
-    unit = re.sub(r"\s+", " ", text)[-size:]
-    end = len(text)
-    while end >= size and re.sub(r"\s+", " ", text[end - size : end]) == unit:
-        end -= size
-    return text[: end + size].rstrip()
+def _units(ngram_size: int, min_repeats: int, min_span: int) -> tuple[tuple[tuple[int, int], ...], int]:
+    units = tuple((n, max(min_repeats, 3, -(-min_span // n))) for n in range(1, ngram_size + 1))
+    return units, max((n * k for n, k in units), default=0)
+
+
+def degenerate(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span: int = 200) -> Column:
+    """struct<detected, kind, ngram_size, repeats, span>: white-space spirals first, else the
+    longest repeated tail. NULL is sound."""
+    units, reach = _units(ngram_size, min_repeats, min_span)
+
+    def report(t: str | None, spiral: bool) -> tuple:
+        if t is None:
+            return _SOUND
+        m = _SPIRAL.search(t) if spiral else None
+        if m:
+            return True, "whitespace_spiral", 0, 0, len(m.group())
+        loop = longest_loop(t, units, reach)
+        return (True, "repetition_loop", *loop, loop[0] * loop[1]) if loop else _SOUND
+
+    @F.arrow_udf(f"struct<{_REPORT}>")
+    def detect(batch: pa.Array) -> pa.Array:
+        rows = []
+        for k in range(0, len(batch), 256):
+            part = batch.slice(k, 256)
+            spirals = pc.match_substring_regex(part.fill_null(""), SPIRAL).to_pylist()
+            rows += map(report, part.to_pylist(), spirals)
+        kinds = (pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, kinds)], [f.split(":")[0] for f in _REPORT.split(", ")])
+
+    return detect(text)
+
+
+def without_loop(text: str, size: int) -> str:
+    """``text`` with one unit kept of its repeated end. The unit is of the collapsed text, but units are counted
+    in the raw one, so a loop that has runs of white space may stay."""
+    unit, codes = _codes(_BLANKS.sub(" ", text)[-size:]), _codes(_BLANK.sub(" ", text))
+    whole = len(codes) // size
+    units = codes[len(codes) - whole * size :].reshape(whole, size)
+    other = np.flatnonzero((units != unit).any(axis=1)) if len(unit) == size else np.arange(whole)
+    surplus = whole - (int(other[-1]) + 1 if len(other) else 0) - 1
+    return text[: len(text) - max(0, surplus) * size].rstrip()
 
 
 def truncate_degenerate(text: Column, report: Column) -> Column:
-    """``text`` without its degenerate tail, one unit kept. The unit is of the collapsed text but
-    the walk is over the raw one, so a loop with runs of white space may stay."""
+    """``text`` without what ``report`` (of ``degenerate``) finds degenerate: spirals become a blank line, a
+    repeated end keeps one unit."""
 
     @F.arrow_udf("string")
-    def trim(texts: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or not n else _trim_loop(t, n) for t, n in zip(texts.to_pylist(), sizes.to_pylist())], pa.string())
+    def trim(texts: pa.Array, kinds: pa.Array, sizes: pa.Array) -> pa.Array:
+        def one(t: str | None, kind: str | None, size: int | None) -> str | None:
+            if t is None or not kind:
+                return t
+            return _SPIRAL.sub("\n\n", t).rstrip() if kind == "whitespace_spiral" else without_loop(t, size)
+
+        return pa.array([one(*row) for row in zip(texts.to_pylist(), kinds.to_pylist(), sizes.to_pylist())], pa.string())
+
+    return trim(text, report["kind"], report["ngram_size"])
+
+
+# -- names that older callers know ------------------------------------------------------------
+
+
+def repetition_loop(text: Column, window: int = 64, max_repeats: int = 8) -> Column:
+    """Whether a text ends in a loop or holds a spiral."""
+    return degenerate(text, window, max_repeats)["detected"]
+
 
-    spirals = F.regexp_replace(F.regexp_replace(text, SPIRAL, "\n\n"), rf"(?U){SPACE}+\z", "")
-    return F.when(report["kind"] == "whitespace_spiral", spirals).when(report["kind"] == "repetition_loop", trim(text, report["ngram_size"])).otherwise(text)
+def truncated_repetition(text: Column, window: int = 64, max_repeats: int = 8) -> Column:
+    return truncate_degenerate(text, degenerate(text, window, max_repeats))
 
 
 # -- JSON ------------------------------------------------------------------------------------

@@ -1,9 +1,12 @@
 """Layout blocks with reading order: spans become rows, rows are cut at gutters into lines, lines
-fall into columns and blocks. One shuffle by page; the only fold is the assignment of rows, whose
-anchor is a row's first span and so cannot be a lag."""
+fall into columns and blocks. Spans are shuffled once by page, and the pages' sizes to them; all that
+follows keeps to that partitioning. The only fold is the assignment of rows, whose anchor is a row's first span and
+so cannot be a lag: it runs over a page's array of heights in an Arrow function.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,34 +17,44 @@ LINE_GAP, ROW_TOLERANCE, GUTTER_HEIGHTS, GUTTER_WIDTH = 1.8, 0.55, 6.0, 0.035
 MIN_LINES, MIN_SIDE, SIDE_SLACK, MAX_CROSSING = 6, 3, 0.02, 0.15
 
 
-def page_rows(spans: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
-    """``spans`` with ``row`` and the page's ``median_height`` (10 without a positive one)."""
-    page = Window.partitionBy(*key)
-    h = F.col("y1") - F.col("y0")
-    down = -(F.col("y0") + F.col("y1")) / 2.0
-    s = spans.withColumns({"__down": down, "median_height": F.coalesce(F.median(F.when(h > 0, h)).over(page), F.lit(10.0))})
-    item = F.struct("__down", "x0", "span_index")
-    grouped = s.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("i"), F.first("median_height").alias("m"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.expr("cast(array() as array<struct<span_index: int, row: int>>)").alias("rows"))
+def rows_down(heights: list[float], tolerance: float) -> list[int]:
+    """The row of each height, given in order: one more whenever it is too far from the first of its row."""
+    row, anchor, rows = -1, None, []
+    for h in heights:
+        if anchor is None or abs(h - anchor) > tolerance:
+            row, anchor = row + 1, h
+        rows.append(row)
+    return rows
+
 
-    def step(acc: Column, x: Column) -> Column:
-        stays = acc["anchor"].isNotNull() & (F.abs(x["__down"] - acc["anchor"]) <= F.col("m") * ROW_TOLERANCE)
-        row = F.when(stays, acc["row"]).otherwise(acc["row"] + 1)
-        anchor = F.when(stays, acc["anchor"]).otherwise(x["__down"])
-        return F.struct(anchor.alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(F.struct(x["span_index"].alias("span_index"), row.alias("row")))).alias("rows"))
+def _row_column(heights: Column, tolerance: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def rows(h: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array([rows_down(*page) for page in zip(h.to_pylist(), t.to_pylist())], pa.list_(pa.int32()))
 
-    rows = grouped.select(*key, F.explode(F.aggregate("i", start, step)["rows"]).alias("r")).select(*key, "r.span_index", "r.row")
-    return s.join(rows, [*key, "span_index"])
+    return rows(heights, tolerance)
+
+
+def page_rows(spans: DataFrame, pages: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
+    """``spans`` with ``row``, the page's size and ``median_height`` (10 without a positive one); pages
+    without a size are left out."""
+    h = F.col("y1") - F.col("y0")
+    item = F.struct((-(F.col("y0") + F.col("y1")) / 2.0).alias("__down"), "x0", "span_index", "text", "y0", "x1", "y1", "heading_level")
+    grouped = spans.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__i"), F.coalesce(F.median(F.when(h > 0, h)), F.lit(10.0)).alias("median_height"))
+    sized = grouped.join(pages.select(*key, "width", "height"), list(key))
+    rows = _row_column(F.col("__i.__down"), F.col("median_height") * ROW_TOLERANCE)
+    each = F.transform(F.arrays_zip("__i", "__rows"), lambda x: F.struct(x["__i"].alias("s"), x["__rows"].alias("row")))
+    out = sized.withColumn("__rows", rows).select(*key, "width", "height", "median_height", F.explode(each).alias("__x"))
+    return out.select(*key, "width", "height", "median_height", "__x.s.*", "__x.row")
 
 
-def page_lines(rows: DataFrame, pages: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
+def page_lines(rows: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
     """Lines with their box, text and heading level. A row is cut where the gap to the span before is
     wider than the gutter."""
-    j = rows.join(pages.select(*key, "width", "height"), list(key))
     across = Window.partitionBy(*key, "row").orderBy("x0", "__down", "span_index")
     gutter = F.greatest(F.col("median_height") * GUTTER_HEIGHTS, F.when(F.col("width") > 0, F.col("width") * GUTTER_WIDTH).otherwise(0.0))
     cut = F.coalesce((F.col("x0") - F.lag("x1").over(across)) > gutter, F.lit(False))
-    j = j.withColumn("__cut", cut.cast("int")).withColumns({"part": F.sum("__cut").over(across), "__at": F.row_number().over(across)})
+    j = rows.withColumn("__cut", cut.cast("int")).withColumns({"part": F.sum("__cut").over(across), "__at": F.row_number().over(across)})
     texts = F.transform(F.array_sort(F.collect_list(F.struct("__at", "text"))), lambda x: x["text"])
     return j.groupBy(*key, "row", "part").agg(
         strip(F.array_join(texts, " ")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -89,7 +102,7 @@ def document_layout(pages: DataFrame, spans: DataFrame, key: tuple[str, ...] = P
     """Blocks of all pages, normalised, origin top left. x and y are held at 0 or more, w and h at 1 or
     less, each by itself. Pages without an area have none."""
     sound = pages.where((F.col("width") > 0) & (F.col("height") > 0))
-    b = line_blocks(line_columns(page_lines(page_rows(spans, key), sound, key), key), key).where(F.col("text") != "")
+    b = line_blocks(line_columns(page_lines(page_rows(spans, sound, key), key), key), key).where(F.col("text") != "")
     order = F.row_number().over(Window.partitionBy(*key).orderBy("column", "block")) - 1
     w, h = F.col("width"), F.col("height")
     return b.select(

@@ -1,5 +1,5 @@
-"""Page profiles, routing and the reports over them. Everything stays in generated code; nothing
-is shuffled before the reports."""
+"""Page profiles, routing and the reports over them. The profile is one Arrow pass over the text, the rest
+stays in generated code; nothing is shuffled before the reports."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.config import TOPOLOGIES, PipelineOptions, TriageThresholds
-from pagewright.functions.text import MATH_SYMBOLS, OPERATORS, SPACE, count_of, strip
+from pagewright.functions.text import text_profile
 
 #: Code and message of each trigger, in the order of evaluation.
 TRIGGERS = (
@@ -29,17 +29,13 @@ def render_reason(code: str, value: float, thresholds: TriageThresholds | None =
 
 def profile_text(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds char_count, word_count, avg_word_len, math_density. A NULL text counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_count(t, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
-    letters = F.length(F.regexp_replace(t, rf"(?U){SPACE}+", ""))
-    chars = F.length(strip(t))
-    hits = count_of(t, MATH_SYMBOLS) + count_of(t, OPERATORS)
-    return pages.withColumns({
-        "char_count": chars,
-        "word_count": words,
-        "avg_word_len": F.when(words > 0, letters / words).otherwise(0.0),
-        "math_density": F.when(chars > 0, hits / chars).otherwise(0.0),
-    })
+    p = F.col("__profile")
+    return pages.withColumn("__profile", text_profile(F.col(text))).withColumns({
+        "char_count": p["chars"],
+        "word_count": p["words"],
+        "avg_word_len": F.when(p["words"] > 0, p["letters"] / p["words"]).otherwise(0.0),
+        "math_density": F.when(p["chars"] > 0, p["hits"] / p["chars"]).otherwise(0.0),
+    }).drop("__profile")
 
 
 def profile_objects(objects: DataFrame, pages: DataFrame, key: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
@@ -123,16 +119,21 @@ def trigger_frequency(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.explode("reasons.code").alias("code")).groupBy("code").agg(F.count("*").alias("pages"))
 
 
-def message_key(message: Column) -> Column:
-    """The part of a message before a bracket or dash; numbers stay in it."""
-    return F.trim(F.substring_index(F.substring_index(message, "(", 1), "—", 1))
+#: Ranges of values among which the wanted places are looked for.
+RANGES = 256
 
 
 def latency_stats(rows: DataFrame, value: str) -> DataFrame:
-    """Median, and the value at place floor(0.95 n) from 0 of the sorted values."""
-    numbered = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x"))
-    n = numbered.agg(F.count("*").alias("n"), F.median("x").alias("median"))
-    # distinct values are few against rows: their running counts locate the place without one sorted partition of all rows
-    counts = numbered.groupBy("x").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("x")))
-    place = counts.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.lit(0.95) * F.col("n")))
-    return n.crossJoin(place.agg(F.min("x").alias("p95")))
+    """Median, and the value at place floor(0.95 n) from 0 of the sorted values. Values are counted, spread
+    by range, and counted up within a range only; where a range begins follows from the sums of those
+    below it, of which there are ``RANGES`` at most. NULLs do not count; without a value there is n = 0."""
+    counts = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    spread = counts.repartitionByRange(RANGES, "x").withColumn("r", F.spark_partition_id())
+    before = F.sum("s").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))  # over RANGES rows
+    starts = spread.groupBy("r").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(before, F.lit(0)))
+    n = F.sum("s").alias("n")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("r").orderBy("x"))
+    placed = spread.join(F.broadcast(starts.select("r", "before")), "r").withColumn("upto", upto).crossJoin(F.broadcast(starts.agg(n)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    low, high, p95 = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2)), at(F.floor(F.lit(0.95) * F.col("n")))
+    return placed.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), ((low + high) / 2).alias("median"), p95.alias("p95"))

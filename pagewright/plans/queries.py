@@ -121,14 +121,21 @@ def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loops_sql(table: str = "documents") -> str:
-    return f"""WITH c AS (SELECT doc_id, text, regexp_replace(text, '\\s+', ' ', 'g') AS t, regexp_extract(text, '[ \\t]{{200,}}|(?:\\r?\\n){{40,}}') AS spiral FROM {table}),
+    """The run of the last n characters at the end is what an anchored pattern matches."""
+    return f"""c AS (SELECT doc_id, text, regexp_replace(text, '\\s+', ' ', 'g') AS t, regexp_extract(text, '[ \\t]{{200,}}|(?:\\r?\\n){{40,}}') AS spiral FROM {table}),
 n AS (SELECT doc_id, t, right(t, 300) AS tail, n::INT AS n, greatest(3, ceil(200 / n))::INT AS k FROM c, range(1, 65) s(n)),
-hit AS (SELECT doc_id, t, n, k FROM n WHERE length(tail) >= n * k AND right(tail, n * k) = repeat(right(tail, n), k)),
-many AS (SELECT doc_id, n, max(k2) AS repeats FROM (SELECT doc_id, n, k2 FROM hit, range(1, 20000) s(k2) WHERE k2 * n <= length(t) AND right(t, n * k2::INT) = repeat(right(t, n), k2::INT)) q GROUP BY doc_id, n),
-best AS (SELECT doc_id, n, repeats, row_number() OVER (PARTITION BY doc_id ORDER BY n * repeats DESC, n) AS place FROM many)
-SELECT c.doc_id, spiral <> '' OR best.n IS NOT NULL AS detected, CASE WHEN spiral <> '' THEN 'whitespace_spiral' WHEN best.n IS NOT NULL THEN 'repetition_loop' ELSE '' END AS kind,
+hit AS (SELECT doc_id, t, n, right(t, n) AS unit FROM n WHERE length(tail) >= n * k AND right(tail, n * k) = repeat(right(tail, n), k)),
+many AS (SELECT doc_id, n, unit, length(regexp_extract(t, '(?:' || regexp_escape(unit) || ')+$')) // n AS repeats FROM hit),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * repeats DESC, n) AS place FROM many),
+loops AS (SELECT c.doc_id, text, unit, spiral <> '' OR best.n IS NOT NULL AS detected, CASE WHEN spiral <> '' THEN 'whitespace_spiral' WHEN best.n IS NOT NULL THEN 'repetition_loop' ELSE '' END AS kind,
   CASE WHEN spiral <> '' OR best.n IS NULL THEN 0 ELSE best.n END AS ngram_size, CASE WHEN spiral <> '' OR best.n IS NULL THEN 0 ELSE repeats::INT END AS repeats
-FROM c LEFT JOIN best ON best.doc_id = c.doc_id AND place = 1"""
+FROM c LEFT JOIN best ON best.doc_id = c.doc_id AND place = 1)"""
+
+
+TRUNCATED_SQL = f"""WITH made AS (SELECT doc_id, text || repeat(right(text, 5), 60) AS text FROM documents), {_loops_sql("made")},
+m AS (SELECT *, length(regexp_extract(regexp_replace(text, '\\s', ' ', 'g'), '(?:' || regexp_escape(unit) || ')+$')) // ngram_size AS units FROM loops)
+SELECT doc_id, detected, md5(CASE kind WHEN 'repetition_loop' THEN regexp_replace(left(text, (length(text) - greatest(coalesce(units, 0) - 1, 0) * ngram_size)::BIGINT), '\\s+$', '')
+  WHEN 'whitespace_spiral' THEN regexp_replace(regexp_replace(text, '[ \\t]{{200,}}|(?:\\r?\\n){{40,}}', chr(10) || chr(10), 'g'), '\\s+$', '') ELSE text END) AS digest FROM m"""
 
 
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,11 +338,30 @@ FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.rounded = round(t.size, 1) LEFT
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as spans: rows that only their first span holds together, gutters, lists and headings."""
     pages, box, key = _boxes(spark, sf_dir)
-    s = box.withColumns({"span_index": F.col("obj_id"), "text": F.concat(F.col("kind"), F.col("obj_id").cast("string")), "heading_level": (F.col("x0") % 3).cast("int"), "y0": F.col("y0") - F.col("obj_id") % 2 * 70})
+    n, text = F.col("obj_id"), F.concat(F.col("kind"), F.col("obj_id").cast("string"))
+    s = box.withColumns({"span_index": n, "text": F.when(n % 4 == 1, F.concat(F.lit("- "), text)).when(n % 4 == 2, F.concat(F.lit("2. "), text)).otherwise(text), "heading_level": F.when(F.col("x0") % 3 == 0, n % 3).otherwise(0)})
+    s = s.withColumn("y0", F.col("y0") - n % 2 * 70 + n % 3 * 6)
     return layout.document_layout(pages, s.withColumn("y1", F.col("y0") + 20), key)
 
 
+LAYOUT_SQL = f"""WITH RECURSIVE {_BOXES}, t AS (SELECT doc_id, obj_id AS i, kind || obj_id AS t, x0, x1, y0 - obj_id % 2 * 70 + obj_id % 3 * 6 AS y0, CASE WHEN x0 % 3 = 0 THEN obj_id % 3 ELSE 0 END AS level FROM b),
+s AS (SELECT doc_id, i, CASE i % 4 WHEN 1 THEN '- ' || t WHEN 2 THEN '2. ' || t ELSE t END AS text, x0, x1, y0, y0 + 20 AS y1, level, -(y0 + 10) AS down, row_number() OVER (PARTITION BY doc_id ORDER BY -(y0 + 10), x0, i) AS pos FROM t),
+r AS (SELECT doc_id, pos, down AS anchor, 0 AS row FROM s WHERE pos = 1 UNION ALL
+  SELECT s.doc_id, s.pos, CASE WHEN abs(s.down - r.anchor) <= 11 THEN r.anchor ELSE s.down END, CASE WHEN abs(s.down - r.anchor) <= 11 THEN r.row ELSE r.row + 1 END FROM r JOIN s ON s.doc_id = r.doc_id AND s.pos = r.pos + 1),
+c AS (SELECT s.*, row, coalesce(x0 - lag(x1) OVER w > 120, false)::INT AS cut, row_number() OVER w AS spot FROM s JOIN r ON s.doc_id = r.doc_id AND s.pos = r.pos WINDOW w AS (PARTITION BY s.doc_id, row ORDER BY x0, down, i)),
+p AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, row ORDER BY spot) AS part FROM c),
+l AS (SELECT doc_id, row, part, trim(string_agg(text, ' ' ORDER BY spot)) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(level) AS level FROM p GROUP BY doc_id, row, part),
+e AS (SELECT *, x1 <= 312 AS le, x0 >= 288 AS ri, count(*) OVER d AS n, count(*) FILTER (x1 <= 312) OVER d AS nl, count(*) FILTER (x0 >= 288) OVER d AS nr FROM l WINDOW d AS (PARTITION BY doc_id)),
+k AS (SELECT *, unnest(CASE WHEN n >= 6 AND nl >= 3 AND nr >= 3 AND n - nl - nr <= greatest(2, n * 0.15) THEN list_filter([CASE WHEN le THEN 1 END, CASE WHEN ri THEN 2 END, CASE WHEN NOT le AND NOT ri THEN 0 END], lambda x: x IS NOT NULL) ELSE [0] END) AS col FROM e),
+g AS (SELECT *, (NOT coalesce(lag(level) OVER w = level AND least(lag(x1) OVER w, x1) - greatest(lag(x0) OVER w, x0) > 0 AND lag(y0) OVER w - y1 <= greatest(y1 - y0, 1) * 1.8::DOUBLE, false))::INT AS fresh FROM k WINDOW w AS (PARTITION BY doc_id, col ORDER BY row, part)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, col ORDER BY row, part) AS block FROM g),
+o AS (SELECT doc_id, col, block, trim(string_agg(text, ' ' ORDER BY row, part)) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(level) AS level FROM h GROUP BY doc_id, col, block)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY col, block) - 1)::INT AS reading_order, text, greatest(x0 / 600.0::DOUBLE, 0) AS x, greatest((800.0::DOUBLE - y1) / 800.0::DOUBLE, 0) AS y, least((x1 - x0) / 600.0::DOUBLE, 1) AS w, least((y1 - y0) / 800.0::DOUBLE, 1) AS h,
+  CASE WHEN level = 1 THEN 'Title' WHEN level > 1 THEN 'Section' WHEN text[1:2] = '- ' OR text[1:3] = '2. ' THEN 'List' ELSE 'Text' END AS label, level AS heading_level FROM o WHERE text <> ''"""
+
+
 def region_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image box with the paths within it, whether they make a lattice, and the centres inside."""
     _, box, key = _boxes(spark, sf_dir)
@@ -352,20 +378,37 @@ SELECT doc_id, obj_id, count(*) FILTER (inside) AS path_count, count(*) FILTER (
 
 
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of pages on which each path is drawn as a dozen strokes."""
+    """Regions of pages on which each path is drawn as a dozen strokes, and large images."""
     pages, box, key = _boxes(spark, sf_dir)
-    strokes = box.where("kind = 'path'").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"x0": F.col("x0") + F.col("s"), "x1": F.col("x1") + F.col("s")}).drop("s")
-    return regions.detect_regions(pages, box.where("kind = 'image'").unionByName(strokes), box.where("kind = 'path'"), key)
+    large = box.where("kind = 'image'").withColumns({"x1": F.col("x0") + 4 * (F.col("x1") - F.col("x0")), "y1": F.col("y0") + 6 * (F.col("y1") - F.col("y0"))})
+    paths = box.where("kind = 'path'").withColumn("y1", F.col("y0") + 3 * (F.col("y1") - F.col("y0")))
+    strokes = paths.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"x0": F.col("x0") + F.col("s"), "x1": F.col("x1") + F.col("s")}).drop("s")
+    return regions.detect_regions(pages, large.unionByName(strokes), paths, key)
+
+
+_GROWN = ", ".join(f"""g{n + 1} AS (SELECT DISTINCT a.doc_id, min(least(a.x0, b.x0)) AS x0, min(least(a.y0, b.y0)) AS y0, max(greatest(a.x1, b.x1)) AS x1, max(greatest(a.y1, b.y1)) AS y1
+  FROM g{n} a JOIN g{n} b ON a.doc_id = b.doc_id AND a.x0 - 12 <= b.x1 AND b.x0 <= a.x1 + 12 AND a.y0 - 12 <= b.y1 AND b.y0 <= a.y1 + 12 GROUP BY a.doc_id, a.x0, a.y0, a.x1, a.y1)""" for n in range(7))
+#: Boxes grow over all that they touch, seven times: a page has at most seven paths.
+REGIONS_SQL = f"""WITH {_BOXES}, i AS (SELECT doc_id, obj_id, x0, y0, x0 + 4 * (x1 - x0) AS x1, y0 + 6 * (y1 - y0) AS y1 FROM b WHERE kind = 'image'), p AS (SELECT doc_id, x0, y0, x1, y0 + 3 * (y1 - y0) AS y1 FROM b WHERE kind = 'path'),
+s AS (SELECT doc_id, x0 + n AS x0, y0, x1 + n AS x1, y1 FROM p, range(12) t(n)), g0 AS (SELECT DISTINCT doc_id, x0, y0, x1, y1 FROM s), {_GROWN},
+m AS (SELECT a.doc_id, a.x0, a.y0, a.x1, a.y1, count(*) FILTER (b.x0 >= a.x0 - 12 AND b.x1 <= a.x1 + 12 AND b.y0 >= a.y0 - 12 AND b.y1 <= a.y1 + 12) AS n,
+  count(*) FILTER (meets AND flat) AS flat, count(*) FILTER (meets AND upright AND NOT flat) AS upright FROM g7 a JOIN (SELECT * FROM s) b ON a.doc_id = b.doc_id,
+  LATERAL (SELECT b.x1 >= a.x0 AND b.x0 <= a.x1 AND b.y1 >= a.y0 AND b.y0 <= a.y1 AS meets, b.x1 - b.x0 >= greatest(a.x1 - a.x0, 1e-6) * 0.6::DOUBLE AND b.y1 - b.y0 <= 3 AS flat, b.y1 - b.y0 >= greatest(a.y1 - a.y0, 1e-6) * 0.6::DOUBLE AND b.x1 - b.x0 <= 3 AS upright) q GROUP BY ALL),
+r AS (SELECT doc_id, 'chart' AS kind, n::INT AS path_count, x0, y0, x1, y1 FROM m WHERE n >= 12 AND NOT (flat >= 3 AND upright >= 3) UNION ALL SELECT doc_id, 'figure', 0, x0, y0, x1, y1 FROM i),
+t AS (SELECT r.*, (SELECT count(*) FROM p WHERE p.doc_id = r.doc_id AND (p.x0 + p.x1) / 2 BETWEEN r.x0 AND r.x1 AND (p.y0 + p.y1) / 2 BETWEEN r.y0 AND r.y1) AS text_chars FROM r),
+z AS (SELECT doc_id, kind, greatest(x0 / 600.0::DOUBLE, 0) AS x, greatest((800 - y1) / 800.0::DOUBLE, 0) AS y, least((x1 - x0) / 600.0::DOUBLE, 1) AS w, least((y1 - y0) / 800.0::DOUBLE, 1) AS h, path_count, text_chars FROM t)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY y, x, kind, w, h) - 1)::INT AS region_order, kind, x, y, w, h, path_count, text_chars FROM z
+WHERE greatest(w, 0) * greatest(h, 0) >= 0.015 AND NOT (kind = 'chart' AND text_chars > 5000 * greatest(w, 0) * greatest(h, 0))"""
 
 
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, box, key = _boxes(spark, sf_dir)
-    return anchors.anchors(box.select("doc_id", F.col("obj_id").alias("rect_index"), F.col("kind").alias("text"), "x0", "y0"), 60, key)
+    return anchors.anchors(box.select("doc_id", F.col("obj_id").alias("rect_index"), F.col("kind").alias("text"), "x0", "y0"), key=key)
 
 
 ANCHORS_SQL = f"""WITH {_BOXES}, l AS (SELECT doc_id, obj_id, '[' || x0::BIGINT || ',' || y0::BIGINT || '] ' || kind AS line FROM b),
 u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY obj_id) AS used FROM l)
-SELECT doc_id, concat_ws('\n', string_agg(line, '\n' ORDER BY obj_id) FILTER (used <= 60), CASE WHEN max(used) > 60 THEN '{anchors.TRUNCATED}' END) AS anchors FROM u GROUP BY doc_id"""
+SELECT doc_id, concat_ws('\n', string_agg(line, '\n' ORDER BY obj_id) FILTER (used <= {anchors.MAX_CHARS}), CASE WHEN max(used) > {anchors.MAX_CHARS} THEN '{anchors.TRUNCATED}' END) AS anchors FROM u GROUP BY doc_id"""
 
 QUERIES = {
     "page_profile": page_profile, "page_route": page_route, "triage_by_lang": triage_by_lang, "triage_by_source": triage_by_source, "trigger_frequency": trigger_frequency,
@@ -395,7 +438,8 @@ ORACLES = {
     "summaries": f"""WITH {_MERGED} SELECT doc_id, count(*) AS pages, count(*) FILTER (escalated) AS tier2_pages, round((count(*) FILTER (escalated)) / count(*), 4) AS tier2_fraction, count(*) FILTER (degraded) AS degraded_pages,
       count(*) FILTER (fallback) AS fallback_pages, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens,
       (coalesce(sum(length(markdown)), 0) + 2 * greatest(count(*) FILTER (markdown <> '') - 1, 0))::BIGINT AS chars FROM m GROUP BY doc_id""",
-    "degenerate_texts": _loops_sql(),
+    "degenerate_texts": f"WITH {_loops_sql()} SELECT doc_id, detected, kind, ngram_size, repeats FROM loops",
+    "truncated_texts": TRUNCATED_SQL,
     "front_matter": FRONT_MATTER_SQL,
     "json_replies": "SELECT event_id, event_id % 4 <> 3 AS valid, CASE WHEN event_id % 4 <> 3 THEN (props ->> '$.k')::INT END AS k FROM events",
     "tables_from_lines": """SELECT o_orderkey, '**Order ' || o_orderkey || '**' || chr(10) || chr(10) || '| status | priority |' || chr(10) || '|---|---|' || chr(10) || '| ' || o_orderstatus || ' | '
@@ -419,6 +463,8 @@ ORACLES = {
       round(least(coalesce(sum(greatest(x1 - x0, 0) * greatest(y1 - y0, 0)) FILTER (kind = 'image'), 0) / 480000.0::DOUBLE, 1), 9) AS image_area_ratio FROM b GROUP BY doc_id""",
     "decorations": DECORATIONS_SQL,
     "headings": HEADINGS_SQL,
+    "layout_blocks": LAYOUT_SQL,
     "region_members": MEMBERS_SQL,
+    "page_regions": REGIONS_SQL,
     "page_anchors": ANCHORS_SQL,
 }

@@ -1,10 +1,14 @@
-"""Operators on small inputs with known outcomes, and every query against its SQL."""
+"""Operators on small inputs with known outcomes. ``test_queries`` holds every query against its SQL."""
+
+import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import protocol
+from pagewright.functions import protocol, text
 from pagewright.operators import anchors, formatting, governance, layout, regions, spans, triage
 from pagewright.schema import CHARS, PAGE_OBJECTS, PAGES
 from pagewright.streaming import ingest
@@ -50,6 +54,77 @@ def test_degenerate(spark, text, loop):
     assert (len(cut) < len(text)) is loop
 
 
+def slow_loop(text, most=64):
+    t = re.sub(r"\s+", " ", text)
+    best = None
+    for n in range(1, most + 1):
+        unit, k = t[-n:], 0
+        while len(unit) == n and t[: len(t) - n * k].endswith(unit):
+            k += 1
+        if k >= 3 and n * k >= 200 and (best is None or n * k > best[0] * best[1]):
+            best = (n, k)
+    return best
+
+
+def slow_cut(text, size):
+    unit, end = re.sub(r"\s+", " ", text)[-size:], len(text)
+    while end >= size and re.sub(r"\s+", " ", text[end - size : end]) == unit:
+        end -= size
+    return text[: end + size].rstrip()
+
+
+def test_loops_against_brute_force():
+    rng, (units, reach) = random.Random(8), protocol._units(64, 3, 200)
+    found = 0
+    for _ in range(400):
+        unit = "".join(rng.choice("ab \n\u2003é😀") for _ in range(rng.randrange(1, 70)))
+        text = "".join(rng.choice("ab \n") for _ in range(rng.randrange(50))) + unit * rng.randrange(1, 60)
+        loop = protocol.longest_loop(text, units, reach)
+        assert loop == slow_loop(text), text
+        if loop:
+            found += 1
+            assert protocol.without_loop(text, loop[0]) == slow_cut(text, loop[0]), text
+    assert found > 100
+    start = time.perf_counter()
+    assert protocol.longest_loop("x" + "ab" * 500_000, units, reach) == (2, 500_000)
+    assert protocol.without_loop("x" + "ab" * 500_000, 2) == "xab" and time.perf_counter() - start < 5
+
+
+def test_profile_against_brute_force(spark):
+    rng = random.Random(9)
+    alphabet = "ab1=+^∑α×÷±≥é😀\n\t \u2003\u00a0\x1c\u3000{}\\"
+    texts = [None, "", " ", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(300))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = {r.i: r for r in triage.profile_text(df).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        words, chars = t.split(), len(t.strip())
+        hits = sum((c in text.MATH_SYMBOLS) + (c in text.OPERATORS) for c in t)
+        r = rows[i]
+        assert (r.char_count, r.word_count) == (chars, len(words)), repr(t)
+        assert r.avg_word_len == (sum(map(len, words)) / len(words) if words else 0.0)
+        assert r.math_density == (hits / chars if chars else 0.0)
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.5, 2.5], [5.0, 1.0, 1.0, None, 9.0, 2.0] * 7])
+def test_latency_quantiles(spark, values):
+    r = triage.latency_stats(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    x = sorted(v for v in values if v is not None)
+    assert r.n == len(x)
+    if x:
+        assert r.median == float(np.median(x)) and r.p95 == x[int(0.95 * len(x))]
+
+
+@pytest.mark.parametrize("raw, flag", [("true", True), ("True # sure", True), ('"on"', False), ('"Yes"', True), ("on", True), ("1", False), ("'1'", True), ("no", False), ("", False), ("maybe", False)])
+def test_flags(spark, raw, flag):
+    assert one(spark, protocol.page_response(F.col("t")), t=f"---\nis_table: {raw}\n---\nbody").is_table is flag
+
+
+def test_older_names(spark):
+    assert one(spark, protocol.repetition_loop(F.col("t")), t="go " * 100) is True
+    assert one(spark, protocol.truncated_repetition(F.col("t")), t="a" + "go " * 100) == "ago"
+
+
 def test_front_matter(spark):
     r = one(spark, protocol.page_response(F.col("t")), t="---\nprimary_language: null\nis_rotation_valid: False\nrotation_correction: 45\nis_table: True\nis_diagram: no\n---\n  body \n")
     assert (r.primary_language, r.is_rotation_valid, r.rotation_correction, r.is_table, r.is_diagram, r.natural_text) == (None, False, 0, True, False, "body")
