@@ -1,15 +1,19 @@
 """Exact deduplication by 128-bit content hash, with the bytes compared inside groups.
 
-One narrow pass groups (hash, id): no text moves. Only documents whose hash occurs more than
-once are looked at again, by their text, so that two texts which merely share a hash stay
-apart. Of equal texts the one with the smallest id stays.
+One narrow pass counts hashes, combined before the shuffle: no text moves. Only documents whose hash
+occurs more than once are looked at again. They are written to the shared folder with a
+row number; the smallest (id, row) of each hash is found by another combined aggregate, and the text of
+each document is compared with that keeper's. A document with the same bytes goes. What
+has the hash but not the bytes of its keeper, a collision, is ranked by (hash, text) apart. No
+task gets a whole group: where more than ``HOT`` documents share a hash they are spread by a salt, and
+the keeper's text is there once for each salt.
 
-The hashes that repeat are broadcast if their number is within ``broadcast_rows``; beyond it
-the documents are shuffled once by hash and ranked there.
+The hashes that repeat are broadcast if their number is within ``broadcast_rows``. Beyond it the
+documents meet them in a join by hash, the one case in which unique texts are shuffled too.
 
 Edge cases: a NULL text equals nothing and always stays; empty texts equal each other. A NULL
-id is larger than any id; rows equal in text and id are ranked by a hash of all their columns,
-and of rows equal in everything just one stays. Extra columns pass through, whatever their names.
+id is larger than any id; of rows equal in text and id the one with the smallest hash of all its columns
+stays, and of rows equal in everything just one. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,44 +25,54 @@ from pagewright.llm.common import fresh, materialise, q, require
 
 #: Repeated hashes (16 bytes each, some 100 MB as a hash table) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
+#: Documents of one hash that one task compares.
+HOT = 5_000
 
 
-def _ranked(df: DataFrame, hash_: str, rank: str, keeper: str, text: str, doc_id: str) -> DataFrame:
-    """``df`` with each row's rank among equal texts and the id of the first of them."""
-    rest = [q(c) for c, kind in df.dtypes if c not in (text, hash_) and "map<" not in kind and kind not in ("void", "variant")]
-    by = Window.partitionBy(q(hash_), q(text)).orderBy(q(doc_id).asc_nulls_last(), F.xxhash64(*rest))
-    return df.withColumns({rank: F.row_number().over(by), keeper: F.first(q(doc_id)).over(by)})
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` by way of the shared folder, whatever its columns are called; untyped NULLs are not written."""
+    kept = [c for c, kind in df.dtypes if kind != "void"]
+    plain = materialise(df.select(*[q(c).alias(f"c{i}") for i, c in enumerate(kept)]), label)
+    at = {c: f"c{i}" for i, c in enumerate(kept)}
+    return plain.select(*[(F.col(at[c]) if c in at else F.lit(None)).alias(c) for c in df.columns])
 
 
-def mark_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rank: str = "rank", keeper: str = "keeper", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with ``rank`` (1: stays) and ``keeper`` (the id of the document that stays for it)."""
+def mark_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", stays: str = "stays", keeper: str = "keeper", broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT) -> DataFrame:
+    """``df`` with ``stays`` and ``keeper`` (the id of the document that stays for it)."""
     require(df, text, doc_id)
-    (h,) = fresh(df, "hash")
+    h, n, row, salt, o, k, same = fresh(df, "hash", "n", "row", "salt", "order", "keeper", "same")
     hashed = df.withColumn(h, F.unhex(F.md5(F.encode(q(text), "UTF-8"))))
-    repeated = materialise(hashed.where(q(h).isNotNull()).groupBy(q(h)).count().where("count > 1").select(q(h)), "repeated-hashes")
-    if repeated.count() <= broadcast_rows:
-        repeated = F.broadcast(repeated)
-        again = _ranked(hashed.join(repeated, h, "left_semi"), h, rank, keeper, text, doc_id)
-        once = hashed.join(repeated, h, "left_anti").withColumns({rank: F.lit(1), keeper: q(doc_id)})
-        marked = once.unionByName(again)
-    else:
-        marked = _ranked(hashed.where(q(h).isNotNull()), h, rank, keeper, text, doc_id)
-        marked = marked.unionByName(hashed.where(q(h).isNull()).withColumns({rank: F.lit(1), keeper: q(doc_id)}))
-    return marked.select(*[q(c) for c in df.columns], q(rank), q(keeper))
-
-
-def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    counted = hashed.where(q(h).isNotNull()).groupBy(q(h)).agg(F.count("*").alias(n)).where(q(n) > 1)
+    repeated = materialise(counted.select(q(h).alias("h"), q(n).alias("n")), "repeated-hashes").toDF(h, n)
+    few = F.broadcast if repeated.count() <= broadcast_rows else lambda x: x
+    # NULLs stay as they are in either case: they meet no hash
+    once = hashed.join(few(repeated), h, "left_anti").select(*[q(c) for c in df.columns], F.lit(True).alias(stays), q(doc_id).alias(keeper))
+    again = _written(hashed.join(few(repeated), h).withColumn(row, F.monotonically_increasing_id()), "repeated-texts")
+    again = again.withColumn(salt, F.pmod(q(row), F.ceil(q(n) / hot)).cast("int"))
+    rest = [q(c) for c, kind in df.dtypes if c != text and "map<" not in kind and kind not in ("void", "variant")]
+    order = F.struct(q(doc_id).isNull().alias("none"), q(doc_id).alias("id"), F.xxhash64(*rest).alias("rest"), q(row).alias("row"))
+    first = again.groupBy(q(h)).agg(F.min(order).alias(o)).select(q(o)["row"].alias(k))
+    firsts = again.join(few(first), q(row) == q(k)).select(q(h).alias("h"), q(text).alias("t"), q(doc_id).alias("i"), q(row).alias("r"), F.explode(F.sequence(F.lit(0), F.ceil(q(n) / hot).cast("int") - 1)).alias("s"))
+    met = again.join(firsts.withColumnsRenamed({"h": h, "s": salt, "t": o, "i": k, "r": same}), [h, salt])
+    equal = met.where(q(text) == q(o)).select(*[q(c) for c in df.columns], (q(row) == q(same)).alias(stays), q(k).alias(keeper))
+    by = Window.partitionBy(q(h), q(text)).orderBy(order)
+    collided = met.where(q(text) != q(o)).withColumns({n: F.row_number().over(by), salt: F.first(q(doc_id)).over(by)})
+    collided = collided.select(*[q(c) for c in df.columns], (q(n) == 1).alias(stays), q(salt).alias(keeper))
+    return once.union(equal).union(collided)
+
+
+def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
-    rank, keeper = fresh(df, "rank", "keeper")
-    return mark_duplicates(df, text, doc_id, rank, keeper, broadcast_rows).where(q(rank) == 1).select(*[q(c) for c in df.columns])
+    stays, keeper = fresh(df, "stays", "keeper")
+    return mark_duplicates(df, text, doc_id, stays, keeper, broadcast_rows, hot).where(q(stays)).select(*[q(c) for c in df.columns])
 
 
-def duplicate_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def duplicate_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT) -> DataFrame:
     """A row for each input row: ``doc_id`` is the document that stays, ``duplicate_id`` the one
     that goes in favour of it (NULL in the row of the document that stays itself)."""
-    rank, keeper = fresh(df, "rank", "keeper")
-    marked = mark_duplicates(df, text, doc_id, rank, keeper, broadcast_rows)
-    return marked.select(q(keeper).alias("doc_id"), F.when(q(rank) > 1, q(doc_id)).alias("duplicate_id"))
+    stays, keeper = fresh(df, "stays", "keeper")
+    marked = mark_duplicates(df, text, doc_id, stays, keeper, broadcast_rows, hot)
+    return marked.select(q(keeper).alias("doc_id"), F.when(~q(stays), q(doc_id)).alias("duplicate_id"))
 
 
 ORACLE_SQL = """

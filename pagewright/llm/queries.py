@@ -62,7 +62,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised to include an end-of-text token; exact copies deleted, row by row."""
     docs = table(spark, sf_dir, "documents")
     docs = exact_dedup.mark_duplicates(docs.select("doc_id", "text", "source", "lang"))
-    counts = docs.select("source", "lang", "rank", mixing.token_count(F.col("text")).alias("words"), token_rollup.bpe_count(F.col("text")).alias("bpe"))
+    counts = docs.select("source", "lang", "stays", mixing.token_count(F.col("text")).alias("words"), token_rollup.bpe_count(F.col("text")).alias("bpe"))
     counts = materialise(counts, "token-counts")
     rollup = token_rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
     words, bpe_, more = F.col("words"), F.col("bpe"), F.col("bpe") + 1
@@ -70,7 +70,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("load-1", inserts)
     rollup.commit("load-1", inserts)  # sent again: nothing changes
     rollup.commit("end-of-text-1", token_rollup.revisions(counts, "byte-bpe-50k-1", bpe_, more))
-    gone = counts.where("rank > 1")
+    gone = counts.where("NOT stays")
     rollup.commit("dedup-1", token_rollup.changes(gone, "words-1", words, -1).union(token_rollup.changes(gone, "byte-bpe-50k-1", more, -1)))
     return rollup.totals()
 
