@@ -48,8 +48,8 @@ def bill_of_materials(spark: SparkSession, tiers: dict[str, tuple[str, ...]] | N
 
 def audit(names: DataFrame, components: DataFrame, denylist: tuple[str, ...] = DENYLIST) -> DataFrame:
     """Each name with its licence and why it is a violation (NULL: cleared). A name that is not in
-    the registry is one. The registry is a fixed table of a few rows and is broadcast."""
-    j = names.join(F.broadcast(components), "name", "left")
+    the registry is one."""
+    j = names.join(components, "name", "left")
     why = F.when(F.col("license_class").isNull(), "unknown component").when(F.col("name").isin(*denylist), "denylisted").when(F.col("license_class") != P, "licence not permissive")
     return j.select("name", "kind", "license", "license_class", why.alias("violation"))
 
@@ -58,10 +58,17 @@ def audit_ok(audited: DataFrame) -> DataFrame:
     return audited.agg(F.coalesce(F.bool_and(F.col("violation").isNull()), F.lit(True)).alias("ok"), F.count_if(F.col("violation").isNotNull()).alias("violations"))
 
 
+#: Violations that a message names; it tells how many there are.
+NAMED = 50
+
+
 def assert_compliant(audited: DataFrame) -> None:
-    bad = [f"{r['name']}: {r['violation']}" for r in audited.where("violation IS NOT NULL").orderBy("name").take(50)]
-    if bad:
-        raise RuntimeError("components without clearance: " + "; ".join(bad))
+    bad = audited.where("violation IS NOT NULL")
+    n = bad.count()
+    if n:
+        shown = [f"{r['name']}: {r['violation']}" for r in bad.orderBy("name").take(NAMED)]
+        more = f"; and {n - len(shown)} more" if n > len(shown) else ""
+        raise RuntimeError(f"{n} components without clearance: " + "; ".join(shown) + more)
 
 
 def concurrency(kv_gb: Column, page_tokens: int = PAGE_TOKENS) -> Column:
@@ -81,6 +88,22 @@ def parse_gpus(lines: DataFrame, line: str = "line") -> DataFrame:
     return g.where("index IS NOT NULL AND memory_total_mb IS NOT NULL AND compute_capability IS NOT NULL")
 
 
+def shares_display(version: Column) -> Column:
+    """Whether a kernel's version text is that of a guest whose host draws on the same card."""
+    return F.contains(F.lower(F.coalesce(version, F.lit(""))), F.lit("microsoft"))
+
+
+def this_machine(gpus: DataFrame, version_file: str = "/proc/version") -> DataFrame:
+    """One row for ``plan_serving``: the GPUs in order of index, and the display."""
+    try:
+        with open(version_file, encoding="utf-8", errors="replace") as f:
+            version = f.read()
+    except OSError:
+        version = ""
+    cards = F.array_sort(F.collect_list(F.struct("index", "name", "memory_total_mb", "compute_capability")))
+    return gpus.agg(F.lit("here").alias("machine"), shares_display(F.lit(version)).alias("shared_display"), cards.alias("gpus"))
+
+
 def plan_serving(machines: DataFrame, requested_model: str | None = None) -> DataFrame:
     """A plan for each machine (columns machine, shared_display, gpus array in order of index):
     model, quantization, context, utilisation, sequences, KV cache, codes of warnings and errors."""
@@ -112,7 +135,7 @@ def plan_serving(machines: DataFrame, requested_model: str | None = None) -> Dat
     ).withColumn("ok", F.size("errors") == 0)
 
 
-def serving_args(plan: DataFrame) -> Column:
-    """The server's argument list."""
+def serving_args() -> Column:
+    """The server's argument list, of the columns of a plan."""
     s = lambda c: F.col(c).cast("string")
     return F.array(F.lit("--model"), F.col("model"), F.lit("--max-model-len"), s("max_model_len"), F.lit("--gpu-memory-utilization"), F.format_string("%.2f", F.col("gpu_memory_utilization")), F.lit("--tensor-parallel-size"), s("tensor_parallel_size"), F.lit("--max-num-seqs"), s("max_num_seqs"), F.lit("--enable-prefix-caching"))

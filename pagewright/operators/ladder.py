@@ -26,6 +26,26 @@ def parse_attempts(attempts: DataFrame, options: EndpointOptions | None = None)
     return a.withColumn("valid", stopped & fits & ~F.coalesce(F.col("__loop.detected"), F.lit(False))).withColumnRenamed("__loop", "loop")
 
 
+def judged(parsed: DataFrame, options: EndpointOptions, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Attempts with ``__first_turn``, the first that asks for another rotation, and ``__wins``."""
+    r = F.col("response")
+    a = parsed.where(F.col("attempt") <= options.max_attempts)
+    turn = F.col("error").isNull() & ~r["is_rotation_valid"] & (r["rotation_correction"] != 0)
+    a = a.withColumn("__turns", F.sum(F.when(turn, 1).otherwise(0)).over(Window.partitionBy(*key).orderBy("attempt")))
+    a = a.withColumn("__first_turn", turn & (F.col("__turns") == 1))
+    return a.withColumn("__wins", F.col("error").isNull() & F.col("valid") & ~F.col("__first_turn"))
+
+
+def unsettled(parsed: DataFrame, options: EndpointOptions | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Pages that no attempt has settled and that have time left (``seconds`` of all their attempts against
+    ``page_budget_s``, 0 for none), with the ``rotation`` at which to ask next."""
+    o = options or EndpointOptions()
+    turned = F.coalesce(F.max(F.when(F.col("__first_turn"), F.col("response")["rotation_correction"])), F.lit(0))
+    pages = judged(parsed, o, key).groupBy(*key).agg(F.bool_or("__wins").alias("won"), F.sum("seconds").alias("seconds"), turned.alias("rotation"))
+    in_time = F.col("seconds") < o.page_budget_s if o.page_budget_s else F.lit(True)
+    return pages.where(~F.coalesce("won", F.lit(False)) & in_time)
+
+
 def decide_ladder(parsed: DataFrame, options: EndpointOptions | None = None, text_layer: DataFrame | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
     """One row for each page.
 
@@ -35,13 +55,8 @@ def decide_ladder(parsed: DataFrame, options: EndpointOptions | None = None, tex
     page falls back to its text layer, if allowed, or has an ``error``.
     """
     o = options or EndpointOptions()
-    page = Window.partitionBy(*key).orderBy("attempt")
-    r = F.col("response")
-    a = parsed.where(F.col("attempt") <= o.max_attempts)
-    turn = F.col("error").isNull() & ~r["is_rotation_valid"] & (r["rotation_correction"] != 0)
-    a = a.withColumn("__turns", F.sum(F.when(turn, 1).otherwise(0)).over(page))
-    a = a.withColumn("__first_turn", turn & (F.col("__turns") == 1))
-    wins = F.col("error").isNull() & F.col("valid") & ~F.col("__first_turn")
+    r, wins = F.col("response"), F.col("__wins")
+    a = judged(parsed, o, key)
     fields = F.struct("attempt", F.lit(None).alias("pad"), r.alias("response"), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("loop"))
     whole = a.groupBy(*key).agg(
         F.min_by(F.when(wins, fields), F.when(wins, F.col("attempt"))).alias("won"),

@@ -129,7 +129,7 @@ def dispatch(regions: DataFrame, specialists: DataFrame, outputs: DataFrame, key
     kind, by rank, the first whose output (key, region_order, name, markdown) is not blank. Regions
     without one have a NULL specialist: the page's own text stands for them."""
     at = [*key, "region_order"]
-    able = regions.join(F.broadcast(specialists), F.array_contains("kinds", F.col("kind")))  # a fixed list of a few models
+    able = regions.join(specialists.select("name", "rank", F.explode(F.array_distinct("kinds")).alias("kind")), "kind")
     usable = able.join(outputs, [*at, "name"]).where(strip(F.coalesce("markdown", F.lit(""))) != "")
     first = usable.groupBy(*at).agg(F.min_by(F.struct("name", "markdown"), "rank").alias("b"))
     return regions.join(first, at, "left").select(*[regions[c] for c in regions.columns], F.col("b.name").alias("specialist"), F.col("b.markdown").alias("markdown"))

@@ -3,6 +3,7 @@ stays in generated code; nothing is shuffled before the reports."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +120,37 @@ def trigger_frequency(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.explode("reasons.code").alias("code")).groupBy("code").agg(F.count("*").alias("pages"))
 
 
+def triage_json(decisions: DataFrame, thresholds: TriageThresholds | None = None, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """``triage``: each document's pages in order as one JSON array."""
+    t = thresholds or TriageThresholds()
+
+    @F.arrow_udf("array<string>")
+    def messages(batch: pa.Array) -> pa.Array:
+        return pa.array([["unreadable page" if r["code"] == "unreadable" else render_reason(r["code"], r["value"], t) for r in reasons] for reasons in batch.to_pylist()], pa.list_(pa.string()))
+
+    row = F.struct(
+        F.col(page).alias("page"), "route", F.col("__m").alias("reasons"), F.col("char_count").alias("chars"), F.round("math_density", 4).alias("math_density"),
+        F.round("image_area_ratio", 3).alias("image_area"), F.col("path_object_count").alias("paths"),
+    )
+    return decisions.withColumn("__m", messages("reasons")).groupBy(doc).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("triage"))
+
+
+def message_key(message: Column) -> Column:
+    """The part of a message before a bracket or dash; numbers stay in it."""
+    return F.trim(F.substring_index(F.substring_index(message, "(", 1), "—", 1))
+
+
+def frequent_messages(rows: DataFrame, message: str, n: int = 15) -> DataFrame:
+    """The ``n`` most frequent kinds of message and how often each is there; at a tie by name."""
+    counts = rows.where(F.col(message).isNotNull()).groupBy(message_key(F.col(message)).alias("message")).agg(F.count("*").alias("count"))
+    return counts.orderBy(F.col("count").desc(), "message").limit(n)
+
+
+def first_failures(rows: DataFrame, n: int = 10, name: str = "name", error: str = "error") -> DataFrame:
+    """The first ``n`` by name of those with an error."""
+    return rows.where(F.col(error).isNotNull()).select(name, error).orderBy(name, error).limit(n)
+
+
 #: Ranges of values among which the wanted places are looked for.
 RANGES = 256
 

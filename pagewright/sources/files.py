@@ -1,13 +1,15 @@
-"""Readers for files and tables, and the writers of results. Decoders of PDF and images are optional:
-any function from (path, bytes) to rows of ``schema.PAGES`` and ``schema.PAGE_OBJECTS``."""
+"""Readers for files and tables, and the writers of results. A decoder is any function from (path, bytes) to
+``Page``s; ``images`` has one for scans, those of PDF are brought along."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,34 +19,72 @@ from pagewright.schema import PAGES
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """``path``, ``relative``, ``content`` of all PDFs and images below ``root``, by path. Contents are read only
-    where a plan uses them."""
+    """``path``, ``relative``, ``content`` of all PDFs and images below ``root``. Contents are read only
+    where a plan uses them; files without a byte are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = "file:" + os.path.abspath(root) if "://" not in root else root.rstrip("/")
     relative = F.regexp_replace(F.col("path"), "^" + _quoted(base) + "/+", "")
-    return files.where(is_document(F.col("path"))).select("path", relative.alias("relative"), "content").orderBy("path")
+    return files.where(is_document(F.col("path"))).select("path", relative.alias("relative"), "content")
 
 
 def _quoted(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def decode_pages(files: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple]]) -> DataFrame:
-    """Page rows of each file. A file that the decoder refuses becomes one row with its error, so that
-    one bad file stops nothing. Text is freed of lone surrogates before it is a column."""
+@dataclass(frozen=True)
+class Page:
+    """What a decoder finds on a page. ``objects``: kind and box; ``chars``: code point, font, flags, weight, size
+    and box. A box that cannot be read is four times None."""
+
+    width: float | None
+    height: float | None
+    text: str = ""
+    error: str | None = None
+    objects: Sequence[tuple] = ()
+    chars: Sequence[tuple] = ()
+
+
+Decoder = Callable[[str, bytes], Iterable[Page]]
+
+_OBJECT = "obj_id int, kind string, x0 double, y0 double, x1 double, y1 double"
+_CHAR = "char_index int, codepoint int, font string, flags int, weight int, size double, x0 double, y0 double, x1 double, y1 double"
+DECODED = PAGES + "".join(f", {n} array<struct<{', '.join(c.replace(' ', ': ') for c in fields.split(', '))}>>" for n, fields in (("objects", _OBJECT), ("chars", _CHAR)))
+
+
+def decode_documents(files: DataFrame, decoder: Decoder) -> DataFrame:
+    """A row for each page, with its objects and characters in arrays: a file is decoded once, and whoever
+    reads the written table reads only the arrays that are asked for. A file that the decoder refuses becomes one
+    row with its error, so that one bad file stops nothing. Text is freed of lone surrogates before it is a column."""
+    fields = {n: [c.split()[0] for c in f.split(", ")] for n, f in (("objects", _OBJECT), ("chars", _CHAR))}
+
+    def structs(kind: str, rows: Sequence[tuple]) -> list[dict]:
+        return [dict(zip(fields[kind], (i, *r))) for i, r in enumerate(rows)]
 
     def decode(frames):
-        names = [c.split()[0] for c in PAGES.split(", ")]
+        names = [c.split()[0] for c in PAGES.split(", ")] + ["objects", "chars"]
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"]):
+                rows = []
                 try:
-                    rows += [(path, i, w, h, sanitize(t or ""), e) for i, w, h, t, e in decoder(path, content)]
+                    for i, p in enumerate(decoder(path, content)):
+                        rows.append((path, i, p.width, p.height, sanitize(p.text or ""), p.error, structs("objects", p.objects), structs("chars", p.chars)))
                 except Exception as e:  # noqa: BLE001 - whatever a foreign decoder raises is that file's error
-                    rows.append((path, 0, None, None, "", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
+                    rows = [(path, 0, None, None, "", f"{type(e).__name__}: {e}", [], [])]
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content").mapInPandas(decode, DECODED)
+
+
+def pages_of(decoded: DataFrame) -> DataFrame:
+    return decoded.drop("objects", "chars")
+
+
+def objects_of(decoded: DataFrame) -> DataFrame:
+    return decoded.select("doc_id", "page_index", F.inline("objects"))
+
 
-    return files.select("path", "content").mapInPandas(decode, PAGES)
+def chars_of(decoded: DataFrame) -> DataFrame:
+    return decoded.select("doc_id", "page_index", F.inline("chars"))
 
 
 def text_layer(pages: DataFrame, indices: list[int] | None = None) -> DataFrame:
@@ -69,24 +109,41 @@ def read_test_lines(spark: SparkSession, root: str) -> DataFrame:
     return lines.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("jsonl_name"), F.col("value").alias("line"))
 
 
+def _mounted(root: str) -> str:
+    base = unquote(urlparse(root).path) if root.startswith("file:") else root
+    if "://" in base:
+        raise ValueError("files are written to a mounted folder; use a table for other stores")
+    return os.path.normpath(base)
+
+
 def existing_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` of the Markdown files below ``root``, relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = "file:" + os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    return files.select(F.regexp_replace("path", "^" + _quoted(base) + "/+", "").alias("path"))
+    """``path`` of the Markdown files below ``root``, relative to it, empty ones included (which Spark's own
+    readers leave out)."""
+    base = _mounted(root)
+    found = [os.path.relpath(os.path.join(folder, name), base) for folder, _, names in os.walk(base) for name in names if name.endswith(".md")]
+    return spark.createDataFrame([(p,) for p in found], "path string")
+
+
+def without_output(rows: DataFrame, root: str, output: str = "output") -> DataFrame:
+    """The rows whose file below ``root`` is not there; executors look, each for its own rows."""
+    base = _mounted(root)
+
+    @F.arrow_udf("boolean")
+    def there(paths: pa.Array) -> pa.Array:
+        return pa.array([p is not None and os.path.exists(os.path.join(base, p)) for p in paths.to_pylist()], pa.bool_())
+
+    return rows.where(~there(F.col(output)))
 
 
 def write_markdown(rows: DataFrame, root: str, path: str = "path", text: str = "markdown") -> None:
     """One UTF-8 file for each row, written by the executors under ``root``, a folder they all share. A
     file appears whole or not at all, so a task that runs twice does no harm."""
-    base = unquote(urlparse(root).path) if root.startswith("file:") else root
-    if "://" in base:
-        raise ValueError("files are written to a mounted folder; use a table for other stores")
+    base = _mounted(root)
 
     def write(part):
         for row in part:
             target = os.path.normpath(os.path.join(base, row[0]))
-            if not target.startswith(os.path.normpath(base) + os.sep):
+            if not target.startswith(base + os.sep):
                 raise ValueError(f"{row[0]!r} lies outside the output folder")
             os.makedirs(os.path.dirname(target), exist_ok=True)
             partial = f"{target}.{os.getpid()}.part"
