@@ -6,11 +6,14 @@ to second-person words, rates of capitals, of punctuation and of obfuscated word
 
 The model is trained on the driver on a bounded sample of labelled rows: the
 ``sample_rows`` labels with the smallest hash of their id (a parameter; the default is
-20,000), whatever the size of the tables. A fifth of the sample calibrates. Scoring is one pass over the text
+20,000), whatever the size of the tables. The sample is written once. It is dealt, toxic and clean texts
+each by themselves, into ``FOLDS`` folds; words are induced and trees boosted without a fold to get
+the margins of its texts, and the calibration is fitted to these margins of all texts, none of which
+its own model has seen. The model itself is then made of all folds. Scoring is one pass over the text
 column without a shuffle; the model (some 20 kB) travels with the task.
 
 Edge cases: NULL text scores NULL and is not toxic; a text without words scores 0. NULL
-labels are ignored; an id labelled twice counts twice. Without rows of both classes every text
+labels are ignored; copies of a text are one row of the sample, toxic if one of their labels says so. Without rows of both classes every text
 scores the share of toxic labels (0 without labels). Extra columns pass through; an input
 column named like an output column is replaced.
 """
@@ -22,14 +25,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import q, require, without
+from pagewright.llm.common import materialise, q, require, without
 from pagewright.llm.trees import Boosted, Isotonic, boost, isotonic
 
 SAMPLE_ROWS = 20_000
+FOLDS = 5
 THRESHOLD = 0.5
 SEED_LEXICON = frozenset(
     """idiot idiots idiotic moron morons moronic stupid dumb imbecile loser losers clown clowns scum trash garbage filth
@@ -42,7 +47,7 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur tu te ti tus usted
 #: An induced word is in at least this number and this share of the toxic texts of the sample,
 #: and this many times as frequent there as in the others.
 INDUCED_TEXTS, INDUCED_SHARE, INDUCED_RATIO = 6, 0.004, 25.0
-NAMES = ("log_words", "seed_density", "induced_density", "hidden_density", "any_insult", "person_density", "nearness", "capitals", "all_caps_words", "punctuation", "exclaims", "digits", "obfuscated", "longest_run")
+NAMES = ("log_words", "seed_density", "induced_density", "hidden_density", "log_insults", "person_density", "nearness", "capitals", "all_caps_words", "punctuation", "exclaims", "digits", "obfuscated", "longest_run")
 
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", ".": "", "-": "", "_": ""})
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
@@ -103,7 +108,7 @@ def features(text: str, marks: Marks) -> list[float]:
     rate = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
     words = max(n, 1)
     return [
-        float(np.log1p(n)), has[_SEED] / words, has[_INDUCED] / words, has[_HIDDEN] / words, float(min(len(insult), 50)), has[_PERSON] / words, near,
+        float(np.log1p(n)), has[_SEED] / words, has[_INDUCED] / words, has[_HIDDEN] / words, float(np.log1p(len(insult))), has[_PERSON] / words, near,
         rate(_UPPER), has[_CAPS] / words, rate(_PUNCTUATION), raw.count(b"!") / size, rate(_DIGITS), has[_MIXED] / words,
         float(max(map(len, tokens), default=0)),
     ]
@@ -123,63 +128,94 @@ class Model:
         return [None if t is None else next(p) if t and not t.isspace() else 0.0 for t in texts]
 
 
-def _labelled(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, sample_rows: int) -> DataFrame:
+def _sample(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, sample_rows: int) -> DataFrame:
+    """``text``, ``y``, ``fold`` of the distinct texts of the sample, written once."""
     chosen = labels.where(q(label).isNotNull() & q(doc_id).isNotNull()).select(q(doc_id).alias("i"), q(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("i"), "i", "y").limit(sample_rows)
     texts = df.select(q(doc_id).alias("i"), q(text).alias("text"))
     # at most sample_rows pairs of numbers are broadcast
-    return texts.join(F.broadcast(chosen), "i").where("text IS NOT NULL").select("i", "text", "y")
+    found = texts.join(F.broadcast(chosen), "i").where("text IS NOT NULL").groupBy(F.md5("text").alias("h")).agg(F.min("text").alias("text"), (F.max("y") > 0).cast("int").alias("y"))
+    found = materialise(found, "labelled-texts")
+    # two windows over sample_rows digests at most
+    folds = found.select("h", ((F.row_number().over(Window.partitionBy("y").orderBy("h")) - 1) % FOLDS).alias("fold"))
+    return materialise(found.join(F.broadcast(folds), "h").select("h", "text", "y", "fold"), "labelled-folds")
 
 
-def induce(sample: DataFrame) -> frozenset[str]:
-    """Words that mark toxic texts: by the number of distinct texts of each class that hold them."""
+def induce(sample: DataFrame) -> list[frozenset[str]]:
+    """Words that mark toxic texts, by the number of texts of each class that hold them: found without
+    each of the folds, and last with all."""
 
     def count(batches):
-        tox, all_, n_tox, n_all = Counter(), Counter(), 0, 0
+        tox, all_ = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = {w for w in (_TRIM.sub("", x) for x in set(t.lower().split())) if w.isalpha() and len(w) <= 40}
+            for t, y, fold in zip(*(c.to_pylist() for c in b.columns)):
+                words = [(fold, w) for w in {_TRIM.sub("", x) for x in set(t.lower().split())} if w.isalpha()]
+                words.append((fold, ""))
                 all_.update(words)
-                n_all += 1
                 if y:
                     tox.update(words)
-                    n_tox += 1
-        words = list(all_)
-        yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), pa.array([*(tox[w] for w in words), n_tox], pa.int64()), pa.array([*(all_[w] for w in words), n_all], pa.int64())], ["word", "tox", "seen"])
+        keys = list(all_)
+        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in keys], pa.string()), pa.array([f for f, _ in keys], pa.int32()), pa.array([tox[x] for x in keys], pa.int64()), pa.array([all_[x] for x in keys], pa.int64())], ["word", "fold", "tox", "seen"])
 
-    distinct = sample.groupBy("text").agg(F.max("y").alias("y"))
-    counts = distinct.mapInArrow(count, "word string, tox bigint, seen bigint").groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("seen").alias("seen"))
+    per_fold = sample.select("text", "y", "fold").mapInArrow(count, "word string, fold int, tox bigint, seen bigint")
+    part = lambda c, f: F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+    # fold number FOLDS is none, so nothing is left out
+    counts = materialise(per_fold.groupBy("word").agg(*[part(c, f) for c in ("tox", "seen") for f in range(FOLDS + 1)]), "word-counts")
     total = counts.where("word = ''").first()
-    if total is None or not total.tox or total.tox == total.seen:
-        return frozenset()
-    n_tox, n_clean = total.tox, total.seen - total.tox
-    ratio = (F.col("tox") / n_tox) / ((F.col("seen") - F.col("tox") + 0.5) / n_clean)
-    kept = counts.where((F.col("word") != "") & (F.col("tox") >= INDUCED_SHARE * n_tox) & (F.col("tox") >= INDUCED_TEXTS) & (ratio >= INDUCED_RATIO))
-    return frozenset(r.word for r in kept.select("word").collect())  # bounded by the sample
+
+    def marks(f: int) -> Column:
+        if total is None or not total[f"tox{f}"] or total[f"tox{f}"] == total[f"seen{f}"]:
+            return F.lit(False)
+        n_tox, n_clean = total[f"tox{f}"], total[f"seen{f}"] - total[f"tox{f}"]
+        tox, clean = F.col(f"tox{f}"), F.col(f"seen{f}") - F.col(f"tox{f}")
+        return (tox >= INDUCED_SHARE * n_tox) & (tox >= INDUCED_TEXTS) & ((tox / n_tox) / ((clean + 0.5) / n_clean) >= INDUCED_RATIO)
+
+    flags = counts.where("word <> ''").select("word", F.array(*[marks(f) for f in range(FOLDS + 1)]).alias("m"))
+    kept = flags.where(F.array_contains("m", True)).collect()  # bounded by the sample
+    return [frozenset(r.word for r in kept if r.m[f]) for f in range(FOLDS + 1)]
+
+
+def _features(sample: DataFrame, induced: list[frozenset[str]]) -> pd.DataFrame:
+    """The features of each text of the sample under each set of induced words, on the driver:
+    ``which`` is the number of the set, -1 for all of them."""
+    every, common = frozenset().union(*induced), frozenset.intersection(*induced)
+
+    def rows(batches):
+        most, least = Marks(every), Marks(common)
+        each = [Marks(i) for i in induced]
+        for b in batches:
+            out = []
+            for h, t, y, fold in zip(*(c.to_pylist() for c in b.columns)):
+                x = features(t, most)
+                if every == common or x == features(t, least):  # no word of the text is in some of the sets only
+                    out.append((h, y, fold, -1, *x))
+                else:
+                    out += [(h, y, fold, k, *features(t, m)) for k, m in enumerate(each)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+
+    names = ("h", "y", "fold", "which", *NAMES)
+    schema = pa.schema([("h", pa.string()), *((n, pa.int32()) for n in names[1:4]), *((n, pa.float64()) for n in NAMES)])
+    columns = "h string, y int, fold int, which int, " + ", ".join(f"{n} double" for n in NAMES)
+    got = sample.select("h", "text", "y", "fold").mapInArrow(rows, columns).toPandas()  # at most (FOLDS + 1) x sample_rows x 18 numbers
+    return got.sort_values(["h", "which"], kind="stable")
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     require(df, text, doc_id)
     require(labels, doc_id, label)
-    sample = _labelled(df, labels, text, doc_id, label, sample_rows)
+    sample = _sample(df, labels, text, doc_id, label, sample_rows)
     induced = induce(sample)
-
-    def rows(batches):
-        marks = Marks(induced)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            x = np.array([features(t, marks) for t in texts], float).reshape(len(texts), len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c) for c in x.T)], ["i", "y", *NAMES])
-
-    kind = dict(sample.dtypes)["i"]
-    got = sample.mapInArrow(rows, f"i {kind}, y int, " + ", ".join(f"{n} double" for n in NAMES)).toPandas()  # sample_rows x 16 numbers
-    got = got.sort_values(["i", "y", *NAMES], kind="stable")
-    x, y = got[list(NAMES)].to_numpy(float), (got["y"].to_numpy() > 0).astype(float)
-    held = np.arange(len(got)) % 5 == 4
-    trees = boost(x[~held], y[~held])
-    if not trees.trees or not 0 < y[held].sum() < held.sum():
-        return Model(induced, trees)
-    return Model(induced, trees, isotonic(trees.margin(x[held]), y[held]))
+    got = _features(sample, induced)
+    data = [got[got["which"].isin((-1, f))] for f in range(FOLDS + 1)]
+    x, y, fold = data[-1][list(NAMES)].to_numpy(float), data[-1]["y"].to_numpy(float), data[-1]["fold"].to_numpy()
+    trees = boost(x, y)
+    if y.sum() < FOLDS or len(y) - y.sum() < FOLDS:  # too few to leave any out
+        return Model(induced[-1], trees)
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        own = data[f][list(NAMES)].to_numpy(float)
+        margin[fold == f] = boost(own[fold != f], y[fold != f]).margin(own[fold == f])
+    return Model(induced[-1], trees, isotonic(margin, y))
 
 
 def score_column(text: Column, model: Model) -> Column:
