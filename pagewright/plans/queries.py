@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.config import EndpointOptions
 from pagewright.functions import protocol
 from pagewright.functions.text import MATH_SYMBOLS, OPERATORS, has_markup
-from pagewright.operators import anchors, bench, governance, ladder, layout, merge, regions, spans, triage
+from pagewright.operators import anchors, bench, formatting, governance, ladder, layout, merge, regions, spans, triage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -401,6 +401,65 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY y, x, kind, w, h
 WHERE greatest(w, 0) * greatest(h, 0) >= 0.015 AND NOT (kind = 'chart' AND text_chars > 5000 * greatest(w, 0) * greatest(h, 0))"""
 
 
+# -- typography and regions put together ------------------------------------------------------
+
+
+def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as characters whose font, size and lines change on the way."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split("p_name", "")).alias("i", "ch"))
+    i, x = F.col("i"), F.col("i") * 5.0
+    chars = p.where("ch <> ''").select(
+        "doc_id", i.alias("char_index"), F.when(i % 11 == 10, 10).otherwise(F.ascii("ch")).alias("codepoint"), F.when(F.floor(i / 5) % 2 == 0, "Sans").otherwise("Sans-Bold").alias("font"), F.lit(0).alias("flags"),
+        F.lit(400).alias("weight"), (F.lit(10.0) + F.floor(i / 7) % 2).alias("size"), F.when(i % 13 != 12, x).alias("x0"), F.lit(0.0).alias("y0"), (x + 5).alias("x1"), F.lit(10.0).alias("y1"),
+    )
+    return spans.spans_from_chars(chars, ("doc_id",)).select("doc_id", "span_index", "text", "x0", "x1", "font", "size", "bold", "italic")
+
+
+CHAR_SPANS_SQL = """WITH c AS (SELECT p_partkey AS doc_id, i, i % 11 = 10 AS nl, substr(p_name, (i + 1)::BIGINT, 1) AS ch, (i // 5) % 2 = 1 AS bold, 10.0::DOUBLE + (i // 7) % 2 AS size FROM part, range(0, 200) t(i) WHERE i < length(p_name) AND i % 13 <> 12),
+s AS (SELECT *, (NOT nl AND coalesce(lag(nl) OVER w OR bold <> lag(bold) OVER w OR size <> lag(size) OVER w, true))::INT AS starts FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+g AS (SELECT doc_id, run, string_agg(ch, '' ORDER BY i) AS text, min(i) * 5.0::DOUBLE AS x0, max(i) * 5.0::DOUBLE + 5 AS x1, bool_and(bold) AS bold, min(size) AS size FROM r WHERE NOT nl GROUP BY doc_id, run)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS span_index, text, x0, x1, CASE WHEN bold THEN 'Sans-Bold' ELSE 'Sans' END AS font, size, bold, false AS italic FROM g WHERE trim(text) <> ''"""
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part; its name is bold, italic, a heading, struck in two neighbouring spans, or plain."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    doc, name = F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_name")
+    pages = p.select(doc, F.lit(0).alias("page_index"), F.concat(F.when(k == 1, "the ").otherwise(""), name, F.lit("  costs\nmuch")).alias("markdown"))
+    cut = F.floor(F.length("p_name") / 2).cast("int")
+    halves = F.array(F.struct(F.lit(0).alias("n"), F.left(name, cut).alias("t")), F.struct(F.lit(1).alias("n"), F.substr(name, cut + 1).alias("t")))
+    parts = F.when((k == 3) & (F.substr(name, cut, F.lit(1)) == " "), halves).otherwise(F.array(F.struct(F.lit(0).alias("n"), name.alias("t"))))
+    s = p.where(k != 4).select(doc, F.lit(0).alias("page_index"), k.alias("k"), F.explode(parts).alias("s")).select(
+        "doc_id", "page_index", F.col("s.n").alias("span_index"), F.col("s.t").alias("text"), (F.col("s.n") * 30.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("s.n") * 30.0 + 29).alias("x1"), F.lit(10.0).alias("y1"), F.lit(10.0).alias("size"),
+        (F.col("k") == 0).alias("bold"), (F.col("k") == 1).alias("italic"), F.lit(False).alias("underline"), (F.col("k") == 3).alias("strikeout"), F.when(F.col("k") == 2, 2).otherwise(0).alias("heading_level"),
+    )
+    out = formatting.apply_formatting(pages, s)
+    return out.select("doc_id", "markdown", "spans_applied", "headings", "bold", "italic", "strikeout")
+
+
+MARKED_SQL = """SELECT p_partkey::VARCHAR AS doc_id, CASE p_partkey % 5 WHEN 0 THEN '**' || p_name || '**' WHEN 1 THEN 'the *' || p_name || '*' WHEN 2 THEN '## ' || p_name WHEN 3 THEN '~~' || p_name || '~~' ELSE p_name END || '  costs' || chr(10) || 'much' AS markdown,
+  (p_partkey % 5 <> 4)::INT AS spans_applied, (p_partkey % 5 = 2)::INT AS headings, (p_partkey % 5 = 0)::INT AS bold, (p_partkey % 5 = 1)::INT AS italic, (p_partkey % 5 = 3)::INT AS strikeout FROM part"""
+
+
+def fused_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image boxes as regions, two models of which one is asked first and often has nothing to say."""
+    _, box, key = _boxes(spark, sf_dir)
+    n = F.col("obj_id")
+    r = box.where("kind = 'image'").select("doc_id", n.alias("region_order"), F.when(n % 2 == 0, "chart").otherwise("figure").alias("kind"))
+    models = spark.createDataFrame([("one", 1, ["chart"]), ("two", 2, ["chart", "figure"])], "name string, rank int, kinds array<string>")
+    o = F.col("region_order")
+    say = lambda name, blank: r.select("doc_id", "region_order", F.lit(name).alias("name"), F.when(blank, " ").otherwise(F.concat(F.lit(f"{name} "), o.cast("string"))).alias("markdown"))
+    pages = r.select("doc_id").distinct().select("doc_id", F.concat(F.lit("page "), F.col("doc_id").cast("string"), F.lit(" \n")).alias("markdown"))
+    out = regions.fuse_pages(pages, regions.dispatch(r, models, say("one", o % 3 == 0).union(say("two", o % 4 == 3)), key), key)
+    return out.select("doc_id", "markdown", "regions", "fell_back", F.coalesce(F.col("by_kind")["chart"], F.lit(0)).alias("charts"), F.coalesce(F.col("by_specialist")["two"], F.lit(0)).alias("by_two"))
+
+
+FUSED_SQL = f"""WITH {_BOXES}, r AS (SELECT doc_id, obj_id AS o, obj_id % 2 = 0 AS chart, CASE WHEN obj_id % 2 = 0 AND obj_id % 3 <> 0 THEN 'one ' || obj_id WHEN obj_id % 4 <> 3 THEN 'two ' || obj_id END AS a FROM b WHERE kind = 'image')
+SELECT doc_id, CASE WHEN count(a) = 0 THEN 'page ' || doc_id || ' ' || chr(10) ELSE 'page ' || doc_id || chr(10) || chr(10) || string_agg(a, chr(10) || chr(10) ORDER BY o) END AS markdown, count(*) AS regions, count(*) FILTER (a IS NULL) AS fell_back,
+  count(*) FILTER (chart)::INT AS charts, count(*) FILTER (starts_with(a, 'two'))::INT AS by_two FROM r GROUP BY doc_id"""
+
+
 def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, box, key = _boxes(spark, sf_dir)
     return anchors.anchors(box.select("doc_id", F.col("obj_id").alias("rect_index"), F.col("kind").alias("text"), "x0", "y0"), key=key)
@@ -416,7 +475,7 @@ QUERIES = {
     "truncated_texts": truncated_texts, "front_matter": front_matter, "json_replies": json_replies, "tables_from_lines": tables_from_lines, "latex": latex, "scores": scores,
     "attempt_ladder": attempt_ladder, "licence_audit": licence_audit, "serving_plans": serving_plans, "bench_paths": bench_paths, "bench_tests": bench_tests,
     "candidate_summary": candidate_summary, "markup_guard": markup_guard, "object_profile": object_profile, "decorations": decorations, "headings": headings,
-    "layout_blocks": layout_blocks, "region_members": region_members, "page_regions": page_regions, "page_anchors": page_anchors,
+    "layout_blocks": layout_blocks, "region_members": region_members, "page_regions": page_regions, "page_anchors": page_anchors, "char_spans": char_spans, "marked_pages": marked_pages, "fused_pages": fused_pages,
 }
 
 _KNOWN = ", ".join(f"('{r[0]}', '{r[3]}')" for r in governance.REGISTRY)
@@ -467,4 +526,7 @@ ORACLES = {
     "region_members": MEMBERS_SQL,
     "page_regions": REGIONS_SQL,
     "page_anchors": ANCHORS_SQL,
+    "char_spans": CHAR_SPANS_SQL,
+    "marked_pages": MARKED_SQL,
+    "fused_pages": FUSED_SQL,
 }
