@@ -74,6 +74,28 @@ def http_client(render: Callable[[dict, int, int], bytes]) -> Factory:
     return factory
 
 
+def with_retries(factory: Factory, times: int = 3, wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Factory:
+    """Clients that try again where the connection fails, waiting twice as long each time. What the model says is
+    not judged here: that is the ladder's."""
+
+    def patient(o: EndpointOptions) -> Client:
+        client = factory(o)
+
+        def ask(page: dict, temperature: float, rotation: int) -> Reply:
+            for n in range(times):
+                try:
+                    return client(page, temperature, rotation)
+                except OSError as e:
+                    if n + 1 == times:
+                        raise ModelError(f"no answer in {times} tries: {e}") from e
+                    sleep(wait_s * 2**n)
+            raise ModelError("times is at least 1")
+
+        return ask
+
+    return patient
+
+
 _COLUMNS = ATTEMPTS + ", rotation int, seconds double"
 
 

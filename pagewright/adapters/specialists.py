@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions.protocol import linearised_to_markdown, wrap_latex
 
 #: (kind of region, image bytes) -> Markdown.
 Model = Callable[[str, bytes], str]
@@ -18,11 +21,15 @@ Model = Callable[[str, bytes], str]
 
 @dataclass(frozen=True)
 class Entry:
+    """``form``: what the model returns: Markdown, a chart's flat rows, or LaTeX. The last two are made into Markdown
+    for the whole table of answers at once."""
+
     name: str
     kinds: tuple[str, ...]
     licence: str
     origin: str
     factory: Callable[[], Model]
+    form: str = "markdown"
 
 
 _made: dict[str, Model | None] = {}
@@ -32,12 +39,14 @@ _made: dict[str, Model | None] = {}
 class Registry:
     entries: dict[str, Entry] = field(default_factory=dict)
 
-    def register(self, name: str, kinds: tuple[str, ...], licence: str, origin: str, factory: Callable[[], Model]) -> None:
+    def register(self, name: str, kinds: tuple[str, ...], licence: str, origin: str, factory: Callable[[], Model], form: str = "markdown") -> None:
         if name in self.entries:
             raise ValueError(f"{name!r} is registered already")
         if not licence.strip() or not kinds:
             raise ValueError("a specialist has a licence and takes at least one kind of region")
-        self.entries[name] = Entry(name, tuple(kinds), licence, origin, factory)
+        if form not in ("markdown", "rows", "latex"):
+            raise ValueError("form is markdown, rows or latex")
+        self.entries[name] = Entry(name, tuple(kinds), licence, origin, factory, form)
         _made.pop(name, None)
 
     def get(self, name: str) -> Model | None:
@@ -77,4 +86,7 @@ class Registry:
                             continue
                 yield pd.DataFrame(rows, columns=["doc_id", "page_index", "region_order", "name", "markdown"])
 
-        return crops.mapInPandas(run, "doc_id string, page_index int, region_order int, name string, markdown string")
+        raw = crops.mapInPandas(run, "doc_id string, page_index int, region_order int, name string, markdown string")
+        of = lambda form: F.col("name").isin(*[n for n, e in self.entries.items() if e.form == form])
+        said = F.col("markdown")
+        return raw.withColumn("markdown", F.when(of("rows"), linearised_to_markdown(said)).when(of("latex"), wrap_latex(said, F.lit(True))).otherwise(said))

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DecimalType, MapType, StructType
 
 from pagewright.functions.text import strip
 
@@ -224,6 +225,21 @@ def validated(json: Column, schema: str, required: tuple[str, ...]) -> Column:
     return F.when(reduce(lambda a, b: a & b, [parsed[f].isNotNull() for f in required]), parsed)
 
 
+_JSON_TYPES = {"string": "string", "boolean": "boolean", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number"}
+
+
+def json_schema(kind: DataType) -> dict:
+    """The JSON schema of a type; fields that may not be NULL are required."""
+    if isinstance(kind, StructType):
+        required = [f.name for f in kind.fields if not f.nullable]
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}} | ({"required": required} if required else {})
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    if isinstance(kind, MapType):
+        return {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    return {"type": "number"} if isinstance(kind, DecimalType) else {"type": _JSON_TYPES.get(kind.simpleString(), "string")}
+
+
 def with_schema(prompt: Column, schema_json: str, instruction: str = "Answer with JSON of this schema only:") -> Column:
     return F.concat(prompt, F.lit("\n\n" + instruction + "\n"), F.lit(schema_json))
 

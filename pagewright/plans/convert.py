@@ -3,6 +3,7 @@ own; here they are put together over tables, for one document as for all."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.adapters.model import Factory, ModelError, run_ladder
 from pagewright.config import PipelineOptions
-from pagewright.operators import formatting, ladder, layout, merge, regions, spans, triage
+from pagewright.operators import bench, formatting, ladder, layout, merge, regions, spans, triage
 from pagewright.schema import PAGE_KEY, PAGE_OBJECTS
 from pagewright.sources import files
 
@@ -90,3 +91,19 @@ def batch(spark: SparkSession, root: str, target: str, work: str, decoder: files
     documents = _written(made.documents, f"{work}/documents")
     files.write_markdown(documents.join(names, "doc_id"), target, "output")
     return documents.drop("markdown").join(failed, "doc_id", "full")
+
+
+def prepare_candidate(pdfs: DataFrame, work: str, target: str, convert_all: Callable[[DataFrame], DataFrame], repeats: int = 1) -> DataFrame:
+    """One Markdown file for each benchmark PDF and repeat below ``target``, and the summary of how that went.
+
+    ``pdfs`` has ``pdf``; ``convert_all`` is any conversion: it is given the PDFs that lack a file, and returns pdf,
+    markdown, error, pages and escalated. A PDF that failed gets an empty file, which scores nothing, and counts as failed.
+    """
+    spark = pdfs.sparkSession
+    names = pdfs.select("pdf").distinct()
+    rows = bench.candidate_rows(names, spark.createDataFrame([], "pdf string, markdown string, error string, pages bigint, escalated bigint"), files.existing_outputs(spark, target), repeats)
+    due = _written(rows.where(~F.col("skipped")).select("pdf").distinct(), f"{work}/due")
+    outcomes = _written(convert_all(pdfs.join(due, "pdf", "left_semi")), f"{work}/outcomes")
+    rows = _written(bench.candidate_rows(names, outcomes, files.existing_outputs(spark, target), repeats), f"{work}/candidate")
+    files.write_markdown(rows.where(~F.col("skipped")), target, "target", "content")
+    return bench.candidate_summary(rows)

@@ -93,6 +93,23 @@ def text_layer(pages: DataFrame, indices: list[int] | None = None) -> DataFrame:
     return chosen.select("doc_id", "page_index", strip(F.coalesce("text", F.lit(""))).alias("markdown"))
 
 
+def structured_pages(found: DataFrame, extractor: Callable[[str, bytes], Sequence[str]]) -> DataFrame:
+    """Pages of a structured extractor: (path, bytes) to the Markdown of each page. A file that it refuses has none,
+    so its text layer stands in."""
+
+    def extract(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows += [(path, i, sanitize(text or "")) for i, text in enumerate(extractor(path, content))]
+                except Exception:  # noqa: BLE001 - whatever a foreign extractor raises, the text layer stands in
+                    continue
+            yield pd.DataFrame(rows, columns=["doc_id", "page_index", "markdown"])
+
+    return found.select("path", "content").mapInPandas(extract, "doc_id string, page_index int, markdown string")
+
+
 def structured_or_text(pages: DataFrame, structured: DataFrame | None) -> DataFrame:
     """Tier 1: a structured extractor's pages where it made any of the document, else the text layer."""
     layer = text_layer(pages)

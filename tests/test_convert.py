@@ -16,6 +16,7 @@ from pagewright.operators import anchors, bench, governance, ladder, regions, tr
 from pagewright.plans import convert as plan
 from pagewright.schema import PAGES
 from pagewright.sources import files, images
+from pagewright.streaming import ingest
 
 PROSE = "The quick brown fox jumps over the lazy dog and walks home. " * 4
 
@@ -149,9 +150,15 @@ def test_specialists(spark):
     assert r.available() == ["tables"] and r.available("figure") == [] and r.get("other") is None
     bom = {x.name: x for x in r.bill_of_materials(spark).collect()}
     assert bom["tables"].installed and not bom["gone"].installed and bom["gone"].licence == "MIT"
+    r.register("rows", ("plot",), "MIT", "here", lambda: lambda kind, image: "TITLE | T<0x0A>a | b<0x0A>1 | 2", "rows")
+    r.register("tex", ("formula",), "MIT", "here", lambda: lambda kind, image: " x^2 ", "latex")
+    with pytest.raises(ValueError):
+        r.register("svg", ("plot",), "MIT", "here", list, "svg")
+    others = spark.createDataFrame([("d", 0, 0, "plot", bytearray(b"x")), ("d", 0, 1, "formula", bytearray(b"x"))], "doc_id string, page_index int, region_order int, kind string, image binary")
+    assert [x.markdown for x in r.answers(others).orderBy("region_order").collect()] == ["**T**\n\n| a | b |\n|---|---|\n| 1 | 2 |", "\\[x^2\\]"]
     crops = spark.createDataFrame([("d", 0, 0, "chart", bytearray(b"x")), ("d", 0, 1, "chart", bytearray()), ("d", 0, 2, "figure", bytearray(b"x"))], "doc_id string, page_index int, region_order int, kind string, image binary")
     assert [(x.region_order, x.name, x.markdown) for x in r.answers(crops).collect()] == [(0, "tables", "| t |")]
-    assert [x.name for x in r.table(spark).collect()] == ["tables"]
+    assert [(x.name, x["rank"]) for x in r.table(spark).orderBy("rank").collect()] == [("tables", 0), ("rows", 1), ("tex", 2)]
 
 
 def test_serving(spark):
@@ -229,3 +236,85 @@ def test_unsettled_counts_time(spark):
     parsed = ladder.parse_attempts(spark.createDataFrame(rows, model._COLUMNS))
     assert [r.page_index for r in ladder.unsettled(parsed).collect()] == [0]
     assert sorted(r.page_index for r in ladder.unsettled(parsed, EndpointOptions(page_budget_s=0)).collect()) == [0, 2]
+
+
+def test_clients_that_try_again():
+    calls, waits = [], []
+
+    def flaky(o):
+        def ask(page, temperature, rotation):
+            calls.append(page)
+            if len(calls) < 3:
+                raise ConnectionError("refused")
+            return model.Reply("ok")
+
+        return ask
+
+    assert model.with_retries(flaky, 3, 1.0, waits.append)(EndpointOptions())({}, 0.1, 0).content == "ok" and waits == [1.0, 2.0]
+    calls.clear()
+    with pytest.raises(model.ModelError, match="2 tries"):
+        model.with_retries(flaky, 2, 0.0, waits.append)(EndpointOptions())({}, 0.1, 0)
+
+
+def test_http_client(monkeypatch):
+    import io
+    import urllib.request
+
+    sent = []
+
+    def urlopen(request, timeout):
+        sent.append((request.full_url, json.loads(request.data), timeout))
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": "---\nis_table: true\n---\nx"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 100, "completion_tokens": 50, "total_tokens": 150}}).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", urlopen)
+    o = EndpointOptions(base_url="http://here/v1/", model="m", timeout_s=5)
+    reply = model.http_client(lambda page, side, rotation: f"{side}:{rotation}".encode())(o)({"prompt": "read"}, 0.3, 90)
+    assert (reply.finish_reason, reply.prompt_tokens, reply.completion_tokens, reply.total_tokens) == ("stop", 100, 50, 150)
+    url, body, timeout = sent[0]
+    assert url == "http://here/v1/chat/completions" and timeout == 5 and body["model"] == "m" and body["temperature"] == 0.3 and body["max_tokens"] == o.max_output_tokens
+    assert body["messages"][0]["content"][0]["text"] == "read" and body["messages"][0]["content"][1]["image_url"]["url"].endswith("MTI4ODo5MA==")
+
+
+def test_json_schema():
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+
+    kind = StructType([StructField("name", StringType(), False), StructField("n", LongType()), StructField("xs", ArrayType(DoubleType()))])
+    assert protocol.json_schema(kind) == {"type": "object", "properties": {"name": {"type": "string"}, "n": {"type": "integer"}, "xs": {"type": "array", "items": {"type": "number"}}}, "required": ["name"]}
+
+
+def test_candidate_of_a_benchmark(spark, tmp_path):
+    pdfs = spark.createDataFrame([(f"t/{n}.pdf",) for n in "abc"], "pdf string")
+    (tmp_path / "md").mkdir()
+    asked = []
+
+    def convert_all(due):
+        asked.append(sorted(r.pdf for r in due.collect()))
+        return due.select("pdf", F.lit("text").alias("markdown"), F.when(F.col("pdf") == "t/b.pdf", "failed").alias("error"), F.lit(2).alias("pages"), F.lit(1).alias("escalated"))
+
+    r = plan.prepare_candidate(pdfs, str(tmp_path / "w"), str(tmp_path / "md"), convert_all).first()
+    assert (r.pdfs_converted, r.pdfs_failed, r.pages_total, r.escalation_rate) == (2, 1, 4, 0.5)
+    assert (tmp_path / "md/t/a_pg1_repeat1.md").read_text() == "text" and (tmp_path / "md/t/b_pg1_repeat1.md").read_text() == ""
+    (tmp_path / "md/t/c_pg1_repeat1.md").unlink()
+    r = plan.prepare_candidate(pdfs, str(tmp_path / "w"), str(tmp_path / "md"), convert_all).first()
+    assert asked == [["t/a.pdf", "t/b.pdf", "t/c.pdf"], ["t/c.pdf"]] and (r.pdfs_converted, r.pages_total) == (3, 2)
+
+
+def test_structured_pages(spark):
+    found = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"broken"))], "path string, content binary")
+
+    def extractor(path, content):
+        if content == b"broken":
+            raise ValueError
+        return ["# one", None]
+
+    assert [(r.doc_id, r.page_index, r.markdown) for r in files.structured_pages(found, extractor).collect()] == [("a", 0, "# one"), ("a", 1, "")]
+
+
+def test_stream_of_documents(spark, folder):
+    where = str(folder / "stream")
+    for _ in range(2):  # a second run sees nothing new
+        ingest.start_ingest(spark, str(folder / "in"), where, str(folder / "check"), available_now=True, decoder=fake_decoder).awaitTermination()
+    pages = {(r.doc_id.rpartition("/in/")[2], r.page_index): r for r in spark.read.parquet(f"{where}/pages").collect()}
+    assert set(pages) == {("a/one.pdf", 0), ("a/one.pdf", 1), ("two.pdf", 0), ("bad.pdf", 0), ("b/down.pdf", 0)}
+    assert [x.code for x in pages["b/down.pdf", 0].reasons] == ["sparse", "images"]
+    assert [r.doc_id.rpartition("/in/")[2] for r in ingest.to_redrive(spark, where).collect()] == ["bad.pdf"]
