@@ -34,13 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's own part of the shared folder, which goes when it ends."""
+    own = f"{shared_dir(spark)}/pagewright-{spark.sparkContext.applicationId}"
+    if own not in _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _scratch.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_scratch: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a file that
     survives the loss of any executor."""
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

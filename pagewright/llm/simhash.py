@@ -13,7 +13,11 @@ counted, over all hashes, in each partition, so that narrow partitions serve sma
 wide ones large tables. A partition is probed by its values: both partners list the values
 within half of t_i bits of their own, and meet in the middle. The lists are shuffled and sorted by
 value, and the candidates that meet at one are verified by vector arithmetic on the number
-of differing bits; what is left is verified by the word-pair hashes.
+of differing bits; what is left is verified by the word-pair hashes. Two partitions of 32 bits are
+what the programme chooses for very many hashes.
+
+A value that ``HOT`` hashes or more have makes all values near it hot: the rows listed there are dealt into
+blocks, and each pair of blocks is a task's group of its own, so none gets all rows of a hot value.
 
 Equal hashes are one node, so a thousand exact copies cost no pairs. Groups are the connected
 components of the pairs (alternating large-star and small-star, each round written to the
@@ -38,14 +42,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, materialise, q, require, take_turn
+from pagewright.llm.common import fresh, materialise, q, remove, require, scratch_path, take_turn
 
 BITS = 64
 TAU = 9
 TAU_PAIRS = 44
-PARTITIONS = (3, 4, 5, 6)
+PARTITIONS = (2, 3, 4, 5, 6)
 #: Relative costs of a row to list and shuffle (about a microsecond), and of a candidate to verify.
 COST_ROW, COST_CANDIDATE = 1.0, 0.004
+#: Hashes that share a value of a partition from which on it is cut into blocks of so many.
+HOT = 20_000
 #: Cost units for a task of the probe.
 TASK_COST = 2_000_000
 #: Ids (some 40 bytes each as a hash table) up to which a table is broadcast.
@@ -202,9 +208,12 @@ def allocate(tau: int, rows: float, collisions: list[float]) -> tuple[float, lis
 
 @dataclass(frozen=True)
 class Plan:
+    """``most``: how many hashes share one value, at most."""
+
     order: list[int]
     thresholds: list[int]
     cost: float = 0.0
+    most: int = 0
 
 
 def make_plan(nodes: DataFrame, tau: int) -> Plan:
@@ -214,11 +223,14 @@ def make_plan(nodes: DataFrame, tau: int) -> Plan:
     ordered = nodes.select(permuted(F.col("s"), order).alias("p"))
     keys = [F.lit(m * 64 + i).cast("bigint").bitwiseOR(F.shiftleft(value, 12)) for m in PARTITIONS for i, value in enumerate(part_values(F.col("p"), m))]
     counts = ordered.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").count()
-    squares = counts.groupBy(F.col("key").bitwiseAND(4095).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
-    pairs = {r.part: r.pairs for r in squares.collect()}  # a row for each partition
-    found = [allocate(tau, rows, [pairs.get(m * 64 + i, 0.0) for i in range(m)]) for m in PARTITIONS]
-    cost, thresholds = min(found)
-    return Plan(order, thresholds, cost)
+    found = counts.groupBy(F.col("key").bitwiseAND(4095).alias("part")).agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"), F.max("count").alias("most"))
+    by_part = {r.part: r for r in found.collect()}  # a row for each partition
+    best = []
+    for m in PARTITIONS:
+        parts = [by_part.get(m * 64 + i) for i in range(m)]
+        best.append((*allocate(tau, rows, [p.pairs if p else 0.0 for p in parts]), max(p.most if p else 0 for p in parts)))
+    cost, thresholds, most = min(best)
+    return Plan(order, thresholds, cost, most)
 
 
 def permuted(s: Column, order: list[int]) -> Column:
@@ -250,34 +262,45 @@ _BLOCK = 2048
 
 
 def meeting_pairs(key: np.ndarray, side: np.ndarray, s: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs with equal key (sorted) and hashes within ``tau`` bits; rows of side 0
-    and 1 pair with each other, rows of side 2 among themselves."""
+    """Places of all pairs with equal key (sorted) and hashes within ``tau`` bits. The two lowest bits of a side say
+    who meets: 0 and 1 each other, 2 all; the next two likewise for the blocks of a hot value."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [], []
     short = np.repeat(sizes <= _SHIFTS, sizes)
     at = np.flatnonzero(short)
-    k, h, sd = key[at], s[at], side[at]
+    k, h, sd, bl = key[at], s[at], side[at] & 3, side[at] >> 2
     for d in range(1, int(sizes[sizes <= _SHIFTS].max(initial=1))):
-        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(h[d:] ^ h[:-d]) <= tau) & ((sd[d:] != sd[:-d]) | (sd[d:] == 2)))
+        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(h[d:] ^ h[:-d]) <= tau) & ((sd[d:] != sd[:-d]) | (sd[d:] == 2)) & ((bl[d:] != bl[:-d]) | (bl[d:] == 2)))
         left.append(at[hit])
         right.append(at[hit + d])
+
+    def all_with_all(one: np.ndarray, two: np.ndarray) -> None:
+        for x in range(0, len(one), _BLOCK):
+            for y in range(0, len(two), _BLOCK):
+                i, j = np.nonzero(np.bitwise_count(s[one[x : x + _BLOCK], None] ^ s[two[y : y + _BLOCK]]) <= tau)
+                left.append(one[i + x])
+                right.append(two[j + y])
+
     for run in np.flatnonzero(sizes > _SHIFTS):
         a = np.arange(starts[run], starts[run] + sizes[run])
-        if side[a[0]] == 2:
+        mine, block = side[a] & 3, side[a] >> 2
+        if mine[0] == 2 and block[0] == 2:
             for x in range(0, len(a), _BLOCK):
                 for y in range(x, len(a), _BLOCK):
                     i, j = np.nonzero(np.bitwise_count(s[a[x : x + _BLOCK], None] ^ s[a[y : y + _BLOCK]]) <= tau)
                     later = i + x < j + y
                     left.append(a[i[later] + x])
                     right.append(a[j[later] + y])
-        else:
-            one, two = a[side[a] == 0], a[side[a] == 1]
-            for x in range(0, len(one), _BLOCK):
-                for y in range(0, len(two), _BLOCK):
-                    i, j = np.nonzero(np.bitwise_count(s[one[x : x + _BLOCK], None] ^ s[two[y : y + _BLOCK]]) <= tau)
-                    left.append(one[i + x])
-                    right.append(two[j + y])
+            continue
+        for p, q_ in ((2, 2),) if mine[0] == 2 else ((0, 1),):
+            if block[0] == 2:
+                all_with_all(a[mine == p], a[mine == q_])
+            elif p == q_:
+                all_with_all(a[block == 0], a[block == 1])
+            else:
+                all_with_all(a[(mine == 0) & (block == 0)], a[(mine == 1) & (block == 1)])
+                all_with_all(a[(mine == 0) & (block == 1)], a[(mine == 1) & (block == 0)])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
@@ -287,23 +310,55 @@ def _flipped(flips: Column, base: Column) -> Column:
     return F.transform(flips, lambda f: base.bitwiseXOR(f))
 
 
-def listed_values(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Each node under every value at which it can meet a partner: key, side, node, s."""
+def _lists(p: Column, plan: Plan) -> Column:
+    """All values at which a hash can meet a partner, with its side in the two lowest bits."""
     m, keys = len(plan.thresholds), []
-    for i, (value, width, t) in enumerate(zip(part_values(F.col("p"), m), widths(m), plan.thresholds)):
+    for i, (value, width, t) in enumerate(zip(part_values(p, m), widths(m), plan.thresholds)):
         if t < 0:
             continue
         base = F.shiftleft(value, 8).bitwiseOR(F.lit(i * 4).cast("bigint"))
         for side, radius in ((2, t // 2),) if t % 2 == 0 else ((0, (t + 1) // 2), (1, t // 2)):
             flips = F.array(*[F.lit((f << 8) + side).cast("bigint") for f in _flips(width, radius)])
             keys.append(_flipped(flips, base))
-    both = nodes.select("node", "s", permuted(F.col("s"), plan.order).alias("p"))
-    # the two lowest bits are the side; rows meet at the rest
-    listed = both.select(F.explode(F.concat(*keys)).alias("k"), "node", "s")
-    return listed.select(F.shiftright("k", 2).alias("key"), F.col("k").bitwiseAND(3).cast("tinyint").alias("side"), "node", "s")
+    return F.concat(*keys)
+
+
+def hot_values(nodes: DataFrame, plan: Plan, hot: int = HOT) -> DataFrame:
+    """``key``, ``blocks``: the values near which so many hashes are that they are cut into blocks."""
+    m = len(plan.thresholds)
+    p = nodes.select(permuted(F.col("s"), plan.order).alias("p"))
+    own = F.array(*[F.shiftleft(v, 8).bitwiseOR(F.lit(i * 4).cast("bigint")) for i, v in enumerate(part_values(F.col("p"), m))])
+    crowded = p.select(F.explode(own).alias("k")).groupBy("k").count().where(F.col("count") >= hot)
+    near = []
+    for i, (width, t) in enumerate(zip(widths(m), plan.thresholds)):
+        if t >= 0:
+            flips = F.array(*[F.lit(f << 8).cast("bigint") for f in _flips(width, (t + 1) // 2)])
+            near.append(F.when(F.col("k").bitwiseAND(255) == i * 4, _flipped(flips, F.col("k"))))
+    keys = crowded.select(F.explode(F.coalesce(*near)).alias("k"), "count")
+    return keys.groupBy(F.shiftright("k", 2).alias("key")).agg(F.ceil(F.sum("count") / hot).cast("int").alias("blocks")).where("blocks > 1")
 
 
-def near_pairs(nodes: DataFrame, tau: int = TAU, tau_pairs: int = TAU_PAIRS, plan: Plan | None = None) -> DataFrame:
+def listed_values(nodes: DataFrame, plan: Plan, hot: int = HOT) -> DataFrame:
+    """Each node under every value at which it can meet a partner: key, side, node, s."""
+    both = nodes.select("node", "s", permuted(F.col("s"), plan.order).alias("p"))
+    # the two lowest bits are the side; rows meet at the rest
+    listed = both.select(F.explode(_lists(F.col("p"), plan)).alias("k"), "node", "s")
+    listed = listed.select(F.shiftright("k", 2).alias("key"), F.col("k").bitwiseAND(3).cast("tinyint").alias("side"), "node", "s")
+    alone = F.lit(2 << 2).cast("tinyint")
+    if plan.most < hot:
+        return listed.select("key", F.col("side").bitwiseOR(alone).alias("side"), "node", "s")
+    crowded = materialise(hot_values(nodes, plan, hot), "hot-values")
+    dealt = listed.join(_small(crowded, BROADCAST_ROWS), "key", "left")
+    b = F.coalesce("blocks", F.lit(1))
+    dealt = dealt.withColumns({"b": b, "own": F.pmod(F.xxhash64("node"), b).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    own, other = F.col("own"), F.col("other")
+    block = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    # a pair of blocks of a value is a value of its own
+    pair = F.when(F.col("b") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    return dealt.select(pair.alias("key"), F.col("side").bitwiseOR(F.shiftleft(block, 2)).cast("tinyint").alias("side"), "node", "s")
+
+
+def near_pairs(nodes: DataFrame, tau: int = TAU, tau_pairs: int = TAU_PAIRS, plan: Plan | None = None, hot: int = HOT) -> DataFrame:
     """All pairs a < b of ``nodes`` (node, s, v1, v2) that are near copies, each once."""
     plan = plan or make_plan(nodes, tau)
 
@@ -338,7 +393,7 @@ def near_pairs(nodes: DataFrame, tau: int = TAU, tau_pairs: int = TAU_PAIRS, pla
 
     # rows are few bytes and much work, so the number of tasks goes by the estimated work
     tasks = int(min(max(12, plan.cost / TASK_COST), 100_000))
-    sorted_ = listed_values(nodes, plan).repartition(tasks, "key").sortWithinPartitions("key")
+    sorted_ = listed_values(nodes, plan, hot).repartition(tasks, "key").sortWithinPartitions("key")
     found = materialise(sorted_.mapInArrow(verify, "node_a bigint, node_b bigint").distinct(), "simhash-pairs")
     v = nodes.select("node", "v1", "v2")
     a, b = (v.select(*[F.col(c).alias(f"{c}_{x}") for c in v.columns]) for x in "ab")
@@ -350,8 +405,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the smallest node of its component) for every node of the edges
     (node_a, node_b)."""
     e = edges.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).where("u <> v").distinct()
-    e = materialise(e, "component-edges")
-    before = None
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "component-edges")
+    e, before = materialise(e, "", path), None
     while True:
         # large star: every larger neighbour of u is tied to the smallest node around u
         both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -360,7 +415,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = materialise(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "component-edges")
+        last, path = path, scratch_path(spark, "component-edges")
+        e = materialise(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "", path)
+        remove(spark, last)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
