@@ -120,6 +120,11 @@ def test_simhash_pairs_equal_brute_force(spark):
         got = {(r.node_a, r.node_b) for r in simhash.near_pairs(nodes, plan=plan).collect()}
         assert got == brute, thresholds
     assert {(r.node_a, r.node_b) for r in simhash.near_pairs(nodes).collect()} == brute
+    # hot values cut into blocks, with one side and with two
+    for thresholds in ([3, 2, 2], [1, 1, 1, 1, 1]):
+        plan = simhash.Plan(list(range(64)), thresholds, most=3)
+        assert simhash.hot_values(nodes, plan, 2).count() > 5
+        assert {(r.node_a, r.node_b) for r in simhash.near_pairs(nodes, plan=plan, hot=2).collect()} == brute, thresholds
     # no two rows share a value by mere place: each value holds few of the nodes
     listed = simhash.listed_values(nodes, simhash.Plan(list(range(64)), [0, 0, 2, 2, 0, 0]))
     assert listed.groupBy("key").count().agg(F.max("count")).first()[0] < nodes.count()
@@ -285,6 +290,39 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert r.commit("none", token_rollup.changes(docs(spark, []), "w", words))
 
 
+def test_rollup_survives_crashes_and_commits_during_compaction(spark, tmp_path, monkeypatch):
+    r = token_rollup.TokenRollup(spark, str(tmp_path))
+    one = token_rollup.changes(docs(spark, ["a b"]).withColumn("source", F.lit(None)), "w", mixing.token_count(F.col("text")))
+    publish = token_rollup.TokenRollup._publish
+
+    def dies(self, mark, content):
+        raise RuntimeError("the driver died")
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_publish", dies)
+    for call in (lambda: r.commit("one", one), r.compact):
+        try:
+            call()
+        except RuntimeError:
+            pass
+    assert r.totals().count() == 0 and r.committed() == []
+    monkeypatch.setattr(token_rollup.TokenRollup, "_publish", publish)
+    assert r.commit("one", one) and r.commit("two", one)
+    before = r._entries()
+    assert r.commit("three", one)
+    # a compaction that listed the batches before the third, and two that listed all
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.TokenRollup, "_entries", lambda self: before)
+        r.compact()
+    r.compact()
+    r.compact()
+    assert r.commit("four", one) and not r.commit("three", one)
+    assert [(x.source, x.docs, x.tokens) for x in r.totals().collect()] == [(None, 4, 8)]
+    assert r.committed() == ["four", "one", "three", "two"] and len(r._entries()) == 6
+    assert not r._publish(r._mark("one"), {"folder": "another"}) and r._entries()["one"] == before["one"]
+    with pytest.raises(ValueError):
+        r.commit("fold.x", one)
+
+
 def test_rollup_query_deletes_just_the_surplus_rows(spark, tmp_path, reference_encoding):
     # repeated rows; an id with two texts, one a copy; copies without ids; NULL and empty texts
     rows = [(1, "one two"), (1, "one two"), (2, "three words here"), (3, "three words here"), (3, "a text of its own"), (None, "one two"), (None, "no id"), (None, "no id"), (4, None), (4, None), (5, ""), (6, "")]
