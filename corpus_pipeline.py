@@ -1,5 +1,16 @@
 """The training-data pipeline over ``documents``: toxic texts go, of equal texts one stays, of
-near copies one stays, sources are mixed to their target weights, texts become token ids."""
+near copies one stays, sources are mixed to their target weights, texts become token ids.
+
+Each stage takes a table with at least ``doc_id``, ``text`` and ``source``; all but the last return its columns, in
+their order, whatever else there is and whatever it is called. Edge cases:
+
+* a NULL text is not toxic, equals nothing and is near to nothing, so its row stays; it counts no tokens
+  in the mix and has NULL ids. Empty texts equal each other: one stays;
+* a NULL id is larger than any id where copies are compared, is near to nothing, and is drawn as
+  one key in the mix. A NULL source is a source of its own; other columns may hold NULLs;
+* of rows repeated in all columns one stays. Ties go to the smallest id;
+* an empty table gives an empty one, also without labels; texts are taken whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
-    return bpe.encode(docs)
+    """The documents with their token ids, and whether these decode to the text."""
+    return bpe.encode_and_decode(docs)
 
 
 STAGES = [
@@ -41,10 +52,10 @@ STAGES = [
     ("exact dedup", drop_copies),
     ("SimHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix),
-    ("byte-level BPE encoding", tokenize),
+    ("byte-level BPE encoding and decoding", tokenize),
 ]
 
-#: Boosted trees, SimHash and BPE are beyond SQL; tests hold the stages against brute force.
+#: Boosted trees, SimHash and BPE are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
