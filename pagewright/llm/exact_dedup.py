@@ -8,8 +8,10 @@ has the hash but not the bytes of its keeper, a collision, is ranked by (hash, t
 task gets a whole group: where more than ``HOT`` documents share a hash they are spread by a salt, and
 the keeper's text is there once for each salt.
 
-The hashes that repeat are broadcast if their number is within ``broadcast_rows``. Beyond it the
-documents meet them in a join by hash, the one case in which unique texts are shuffled too.
+The hashes that repeat are broadcast if their number is within ``broadcast_rows``. Beyond it they are put into a
+Bloom filter of at most ``filter_bits`` bits (64 MB by default, whatever the data), and only documents that pass
+it are shuffled to meet the hashes: at 8 bits a hash some 3 % of the unique ones, and more of them, but
+never a wrong result, where the hashes outgrow the filter.
 
 Edge cases: a NULL text equals nothing and always stays; empty texts equal each other. A NULL
 id is larger than any id; of rows equal in text and id the one with the smallest hash of all its columns
@@ -18,7 +20,11 @@ stays, and of rows equal in everything just one. Extra columns pass through, wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import fresh, materialise, q, require
@@ -27,6 +33,8 @@ from pagewright.llm.common import fresh, materialise, q, require
 BROADCAST_ROWS = 500_000
 #: Documents of one hash that one task compares.
 HOT = 5_000
+#: The most bits that the filter has, and how many a hash sets.
+FILTER_BITS, FILTER_HASHES = 1 << 29, 3
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -37,17 +45,50 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return plain.select(*[(F.col(at[c]) if c in at else F.lit(None)).alias(c) for c in df.columns])
 
 
-def mark_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", stays: str = "stays", keeper: str = "keeper", broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT) -> DataFrame:
+def bloom_filter(hashes: DataFrame, n: int, filter_bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """Whether a hash may be among the ``n`` of ``hashes`` (column ``h``). The bits are set by an aggregate and
+    broadcast as one array, at most ``filter_bits`` of them (a power of two)."""
+    bits = min(filter_bits, max(64, 1 << (8 * n).bit_length()))
+    places = lambda h: [F.xxhash64(h, F.lit(k)).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in range(FILTER_HASHES)]
+    at = hashes.select(F.explode(F.array(*places(F.col("h")))).alias("p"))
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # a row for 64 bits
+    table = np.zeros(bits >> 6, np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def there(*columns: pa.Array) -> pa.Array:
+        ok = np.ones(len(columns[0]), bool)
+        for c in columns:
+            p = c.to_numpy(zero_copy_only=False).astype(np.int64)
+            ok &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pa.array(ok)
+
+    return lambda h: there(*places(h))
+
+
+def mark_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", stays: str = "stays", keeper: str = "keeper", broadcast_rows: int = BROADCAST_ROWS, hot: int = HOT, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``df`` with ``stays`` and ``keeper`` (the id of the document that stays for it)."""
     require(df, text, doc_id)
-    h, n, row, salt, o, k, same = fresh(df, "hash", "n", "row", "salt", "order", "keeper", "same")
+    h, n, row, salt, o, k, same, hit = fresh(df, "hash", "n", "row", "salt", "order", "keeper", "same", "hit")
     hashed = df.withColumn(h, F.unhex(F.md5(F.encode(q(text), "UTF-8"))))
     counted = hashed.where(q(h).isNotNull()).groupBy(q(h)).agg(F.count("*").alias(n)).where(q(n) > 1)
     repeated = materialise(counted.select(q(h).alias("h"), q(n).alias("n")), "repeated-hashes").toDF(h, n)
-    few = F.broadcast if repeated.count() <= broadcast_rows else lambda x: x
+    number = repeated.count()
+    alone = [*[q(c) for c in df.columns], F.lit(True).alias(stays), q(doc_id).alias(keeper)]
     # NULLs stay as they are in either case: they meet no hash
-    once = hashed.join(few(repeated), h, "left_anti").select(*[q(c) for c in df.columns], F.lit(True).alias(stays), q(doc_id).alias(keeper))
-    again = _written(hashed.join(few(repeated), h).withColumn(row, F.monotonically_increasing_id()), "repeated-texts")
+    if number <= broadcast_rows:
+        few = F.broadcast
+        once = hashed.join(few(repeated), h, "left_anti").select(*alone)
+        again = hashed.join(few(repeated), h)
+    else:
+        few = lambda x: x
+        tried = hashed.withColumn(hit, q(h).isNotNull() & bloom_filter(repeated.toDF("h", "n"), number, filter_bits)(q(h)))
+        met = _written(tried.where(q(hit)).drop(hit).join(repeated, h, "left"), "repeated-or-not")
+        once = tried.where(~q(hit)).select(*alone).union(met.where(q(n).isNull()).select(*alone))
+        again = met.where(q(n).isNotNull())
+    again = _written(again.withColumn(row, F.monotonically_increasing_id()), "repeated-texts")
     again = again.withColumn(salt, F.pmod(q(row), F.ceil(q(n) / hot)).cast("int"))
     rest = [q(c) for c, kind in df.dtypes if c != text and "map<" not in kind and kind not in ("void", "variant")]
     order = F.struct(q(doc_id).isNull().alias("none"), q(doc_id).alias("id"), F.xxhash64(*rest).alias("rest"), q(row).alias("row"))

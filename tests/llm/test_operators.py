@@ -155,6 +155,27 @@ def test_exact_dedup(spark, limit):
     assert exact_dedup.exact_dedup(docs(spark, []), broadcast_rows=limit).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_exact_dedup_of_many_and_of_hot_texts(spark, bits, monkeypatch):
+    rng = random.Random(2)
+    texts = [f"text {rng.randrange(300)}" for _ in range(400)] + ["hot"] * 150 + [None, None]
+    ids = rng.sample(range(1000), len(texts))
+    df = docs(spark, texts, ids)
+    first = {}
+    for i, t in sorted(zip(ids, texts)):
+        first.setdefault(t if t is not None else i, i)
+    want = [(first[t if t is not None else i], None if first[t if t is not None else i] == i else i) for i, t in zip(ids, texts)]
+    key = lambda p: (p[0], p[1] or -1)
+    marked = exact_dedup.mark_duplicates(df, broadcast_rows=0, hot=20, filter_bits=bits)
+    got = [(r.keeper, None if r.stays else r.doc_id) for r in marked.collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and marked.columns == [*df.columns, "stays", "keeper"]
+    # texts that share a hash are told apart by their bytes
+    with monkeypatch.context() as m:
+        m.setattr(F, "md5", lambda c: F.lpad(F.length(c).cast("string"), 2, "0"))
+        collided = exact_dedup.mark_duplicates(df, hot=50)
+        assert sorted(((r.keeper, None if r.stays else r.doc_id) for r in collided.collect()), key=key) == sorted(want, key=key)
+
+
 def slow_jump(key, n):
     b, j = -1, 0
     key &= (1 << 64) - 1
