@@ -1,15 +1,15 @@
 """Layout blocks with reading order: spans become rows, rows are cut at gutters into lines, lines
 fall into columns and blocks. Spans are shuffled once by page, and the pages' sizes to them; all that
 follows keeps to that partitioning. The only fold is the assignment of rows, whose anchor is a row's first span and
-so cannot be a lag: it runs over a page's array of heights in an Arrow function.
+so cannot be a lag: it runs over a page's array, in blocks, as each step of a fold copies what it has made.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.protocol import bound
 from pagewright.functions.text import lstrip, strip
 from pagewright.schema import PAGE_KEY
 
@@ -17,22 +17,24 @@ LINE_GAP, ROW_TOLERANCE, GUTTER_HEIGHTS, GUTTER_WIDTH = 1.8, 0.55, 6.0, 0.035
 MIN_LINES, MIN_SIDE, SIDE_SLACK, MAX_CROSSING = 6, 3, 0.02, 0.15
 
 
-def rows_down(heights: list[float], tolerance: float) -> list[int]:
+def rows_down(heights: Column, tolerance: Column) -> Column:
     """The row of each height, given in order: one more whenever it is too far from the first of its row."""
-    row, anchor, rows = -1, None, []
-    for h in heights:
-        if anchor is None or abs(h - anchor) > tolerance:
-            row, anchor = row + 1, h
-        rows.append(row)
-    return rows
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    state = lambda anchor, row, made: F.struct(anchor.alias("anchor"), row.alias("row"), made.alias("made"))
 
+    def step(acc: Column, h: Column) -> Column:
+        stays = acc["anchor"].isNotNull() & (F.abs(h - acc["anchor"]) <= tolerance)
+        row = F.when(stays, acc["row"]).otherwise(acc["row"] + 1)
+        return state(F.when(stays, acc["anchor"]).otherwise(h), row, F.concat(acc["made"], F.array(row)))
 
-def _row_column(heights: Column, tolerance: Column) -> Column:
-    @F.arrow_udf("array<int>")
-    def rows(h: pa.Array, t: pa.Array) -> pa.Array:
-        return pa.array([rows_down(*page) for page in zip(h.to_pylist(), t.to_pylist())], pa.list_(pa.int32()))
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, state(acc["anchor"], acc["row"], none("int")), step)
+        return bound(inner, lambda r: state(r["anchor"], r["row"], F.concat(acc["made"], F.array(r["made"]))))
 
-    return rows(heights, tolerance)
+    size = F.ceil(F.sqrt(F.size(heights))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(heights) - 1) / size).cast("int")), lambda k: F.slice(heights, k * size + 1, size))
+    start = state(F.lit(None).cast("double"), F.lit(-1), none("array<int>"))
+    return F.flatten(F.aggregate(parts, start, block)["made"])
 
 
 def page_rows(spans: DataFrame, pages: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
@@ -42,7 +44,7 @@ def page_rows(spans: DataFrame, pages: DataFrame, key: tuple[str, ...] = PAGE_KE
     item = F.struct((-(F.col("y0") + F.col("y1")) / 2.0).alias("__down"), "x0", "span_index", "text", "y0", "x1", "y1", "heading_level")
     grouped = spans.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("__i"), F.coalesce(F.median(F.when(h > 0, h)), F.lit(10.0)).alias("median_height"))
     sized = grouped.join(pages.select(*key, "width", "height"), list(key))
-    rows = _row_column(F.col("__i.__down"), F.col("median_height") * ROW_TOLERANCE)
+    rows = rows_down(F.col("__i.__down"), F.col("median_height") * ROW_TOLERANCE)
     each = F.transform(F.arrays_zip("__i", "__rows"), lambda x: F.struct(x["__i"].alias("s"), x["__rows"].alias("row")))
     out = sized.withColumn("__rows", rows).select(*key, "width", "height", "median_height", F.explode(each).alias("__x"))
     return out.select(*key, "width", "height", "median_height", "__x.s.*", "__x.row")
