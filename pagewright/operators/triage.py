@@ -156,16 +156,19 @@ RANGES = 256
 
 
 def latency_stats(rows: DataFrame, value: str) -> DataFrame:
-    """Median, and the value at place floor(0.95 n) from 0 of the sorted values. Values are counted, spread
-    by range, and counted up within a range only; where a range begins follows from the sums of those
-    below it, of which there are ``RANGES`` at most. NULLs do not count; without a value there is n = 0."""
-    counts = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x")).groupBy("x").agg(F.count("*").alias("c"))
-    spread = counts.repartitionByRange(RANGES, "x").withColumn("r", F.spark_partition_id())
+    """Median, and the value at place floor(0.95 n) from 0 of the sorted values. Values are counted, told apart by
+    ranges, and counted up within a range only; where a range begins follows from the sums of those below it.
+    The borders are approximate quantiles: at most ``RANGES`` numbers that are asked for first. NULLs do not count;
+    without a value there is n = 0."""
+    numbered = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x"))
+    borders = numbered.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or []
+    counts = numbered.groupBy("x").agg(F.count("*").alias("c"))
+    below = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(borders))]), lambda b: b < F.col("x"))) if borders else F.lit(0)
+    spread = counts.withColumn("r", below)
     before = F.sum("s").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1))  # over RANGES rows
     starts = spread.groupBy("r").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(before, F.lit(0)))
-    n = F.sum("s").alias("n")
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("r").orderBy("x"))
-    placed = spread.join(F.broadcast(starts.select("r", "before")), "r").withColumn("upto", upto).crossJoin(F.broadcast(starts.agg(n)))
+    placed = spread.join(F.broadcast(starts.select("r", "before")), "r").withColumn("upto", upto).crossJoin(F.broadcast(starts.agg(F.sum("s").alias("n"))))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
     low, high, p95 = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2)), at(F.floor(F.lit(0.95) * F.col("n")))
     return placed.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), ((low + high) / 2).alias("median"), p95.alias("p95"))
