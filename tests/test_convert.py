@@ -167,6 +167,8 @@ def test_serving(spark):
     assert gpus.count() == 2
     p = governance.plan_serving(governance.this_machine(gpus, "/no/such/file")).withColumn("a", governance.serving_args()).first()
     assert p.quantization == "none" and "prefer_replicas" in p.warnings and p.a[:2] == ["--model", p.model]
+    old = governance.plan_serving(governance.this_machine(gpus, "/no/such/file"), "somebody/model-FP8").first()
+    assert (old.model, old.quantization) == ("somebody/model-FP8", "fp8") and "fp8_on_old_card" in old.warnings
     shares = spark.createDataFrame([("Linux ... Microsoft-standard-WSL2",), ("Linux 6.1",), (None,)], "v string").select(governance.shares_display(F.col("v")).alias("s"))
     assert [r.s for r in shares.collect()] == [True, False, False]
     audited = governance.audit(spark.createDataFrame([(f"n{i:03}",) for i in range(60)], "name string"), governance.registry(spark))

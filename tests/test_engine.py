@@ -43,6 +43,15 @@ def test_images_cover_at_most_the_page_and_bad_boxes_nothing(spark):
     assert (r.image_object_count, r.path_object_count, r.image_area_ratio) == (2, 0, 1.0)
 
 
+def test_every_trigger_fires_in_order(spark):
+    dense = "∑ x " * 5000
+    pages = spark.createDataFrame([("a", 0, 10.0, 10.0, "∑ " * 20, None), ("b", 0, 10.0, 10.0, dense, None), ("c", 0, 10.0, 10.0, "plain words of a page " * 20, None)], PAGES)
+    objects = [("a", 0, 0, "image", 0.0, 0.0, 7.0, 7.0)] + [(d, 0, i, "path", 0.0, 0.0, 1.0, 1.0) for d, n in (("a", 221), ("c", 220)) for i in range(1, n + 1)]
+    profiled = triage.profile_objects(spark.createDataFrame(objects, PAGE_OBJECTS), triage.profile_text(pages))
+    got = {r.doc_id: [x.code for x in r.reasons] for r in triage.decide(profiled).collect()}
+    assert got == {"a": ["sparse", "images", "math", "paths", "garbled"], "b": ["math", "garbled", "dense"], "c": []}
+
+
 # -- replies ---------------------------------------------------------------------------------
 
 
