@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, q, require, take_turn, without
+from pagewright.llm.common import fresh, give_back, q, require, take_turn, without
 from pagewright.llm.prefix import PrefixTables
 from pagewright.llm.words import gathered, in_one_call, lots, tokenise
 
@@ -45,7 +45,9 @@ CACHE_ENTRIES = 150_000
 #: Pieces longer than this are encoded by a scan with its own prefix table.
 LONG_PIECE = 96
 #: Bytes of text whose ids are made, and decoded, at once.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 2 << 20
+#: Bytes of distinct pieces whose prefixes are settled at once.
+PIECE_BYTES = 128 << 10
 
 
 class Vocabulary:
@@ -73,12 +75,17 @@ class Vocabulary:
         self.bytes_from = np.cumsum(self.n_bytes) - self.n_bytes
         #: Pairs that ``follows`` has decided, by left * base + right.
         self.known: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        self.automaton.make_automaton()
         self.tables = PrefixTables(ranks, self._split, self._merge)
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """For pieces that are taken one by one: long ones, and those of a text that is edited."""
+        out = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            out.add_word(token.decode("latin-1"), rank)
+        out.make_automaton()
+        return out
+
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two parts that the merge to ``token`` joins; (rank, rank) if merges never reach it."""
         ranks = self.ranks
@@ -213,27 +220,40 @@ class PrefixEncoder:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each text's ids."""
-        return tokenise(texts, self._words, lambda words: list(map(self.first.__getitem__, words)), self.encode_packed)
+        return tokenise(texts, self._words, self._heads, self.encode_packed)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return in_one_call(words, self._pieces, self.v.n_bytes)
-
-    def _pieces(self, text: str) -> np.ndarray:
-        """The ids of a text: its distinct pieces are encoded together, the long ones one by one."""
-        coded = pa.array(self.split(text), pa.string()).dictionary_encode()
+        return in_one_call(words, lambda text: self._pieces(self.split(text))[0], self.v.n_bytes)
+
+    def _heads(self, words: list[str]) -> list[bytes]:
+        pieces = [self.split(w) for w in words]
+        ids, counts = self._pieces(list(chain.from_iterable(pieces)))
+        upto = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum([len(p) for p in pieces])].astype(np.int64)]
+        return [ids[a:b].astype("<i4").tobytes() for a, b in zip(upto, upto[1:])]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and how many each has: distinct ones are encoded together, the
+        long ones one by one."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
         distinct = coded.dictionary
         n = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
         short, long_ = np.flatnonzero(n <= LONG_PIECE), np.flatnonzero(n > LONG_PIECE)
-        data = b"".join(distinct.take(pa.array(short)).cast(pa.binary()).to_numpy(zero_copy_only=False))
-        ids, sizes = self.v.tables.encode(np.frombuffer(data, np.uint8), n[short])
+        made, at, ends = [], 0, np.cumsum(n[short])
+        while at < len(short):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES)))
+            data = b"".join(distinct.take(pa.array(short[at:stop])).cast(pa.binary()).to_numpy(zero_copy_only=False))
+            made.append(self.v.tables.encode(np.frombuffer(data, np.uint8), n[short[at:stop]]))
+            at = stop
         more = [self.piece_ids(distinct[i].as_py().encode("utf-8")) for i in long_.tolist()]
+        ids = np.concatenate([*(m[0] for m in made), *(np.array(m, np.int32) for m in more), np.zeros(0, np.int32)])
         counts = np.zeros(len(n), np.int64)
-        counts[short], counts[long_] = sizes, [len(m) for m in more]
+        counts[short] = np.concatenate([*(m[1] for m in made), np.zeros(0, np.int64)])
+        counts[long_] = [len(m) for m in more]
         starts = np.zeros(len(n), np.int64)
         order = np.r_[short, long_]
         starts[order] = np.cumsum(counts[order]) - counts[order]
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        return gathered(np.concatenate([ids, *(np.array(m, np.int32) for m in more)]), starts[codes], counts[codes])
+        return gathered(ids, starts[codes], counts[codes]), counts[codes]
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids."""
@@ -412,13 +432,17 @@ def encode_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     def encode_ids(batch: pa.Array) -> pa.Array:
         e = encoder_in_turn(data)
         parts = [e.encode_array(lot) for lot in lots(batch, LOT_BYTES)]
-        return _as_lists(batch, parts)
+        out = _as_lists(batch, parts)
+        give_back()
+        return out
 
     return encode_ids(text)
 
 
 def _as_lists(texts: pa.Array, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
-    ids, sizes = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    sizes = np.concatenate([*(p[1] for p in parts), np.zeros(0, np.int64)])
+    ids = np.concatenate([*(p[0] for p in parts), np.zeros(0, np.int32)], dtype=np.int32)
+    parts.clear()  # the ids of a batch are large
     return list_array(ids, sizes, texts.is_null().to_numpy(zero_copy_only=False))
 
 
@@ -448,16 +472,26 @@ def _decoded(batch: pa.ListArray, e: PrefixEncoder) -> list[str | None]:
 
 def same_as_decoded(texts: pa.Array, ids: np.ndarray, sizes: np.ndarray, e: PrefixEncoder) -> np.ndarray:
     """Whether the ids of each text decode to its bytes."""
-    got, had = e.decode_bytes(ids), np.frombuffer(b"".join(texts.fill_null("").cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
-    upto = np.r_[0, np.cumsum(e.v.n_bytes[ids])][np.cumsum(sizes)]
+    had = np.frombuffer(b"".join(texts.fill_null("").cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    if (upto == ends).all():
-        wrong = np.searchsorted(ends, np.flatnonzero(got != had), "right")
-        same = np.ones(len(texts), bool)
-        same[wrong] = False
-        return same
-    a, b = np.r_[0, upto[:-1]], np.r_[0, ends[:-1]]
-    return np.array([got[i:j].tobytes() == had[k:l].tobytes() for i, j, k, l in zip(a, upto, b, ends)], bool)
+    stops = np.cumsum(sizes)
+    upto = np.r_[0, np.cumsum(e.v.n_bytes[ids])][stops]
+    same = np.zeros(len(texts), bool)
+    at = 0
+    while at < len(texts):
+        byte, token = (int(x[at - 1]) if at else 0 for x in (ends, stops))
+        decoded = int(upto[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, byte + PIECE_BYTES)))
+        got, own = e.decode_bytes(ids[token : stops[stop - 1]]), had[byte : ends[stop - 1]]
+        a, b = upto[at:stop] - decoded, ends[at:stop] - byte
+        if (a == b).all():
+            wrong = np.searchsorted(b, np.flatnonzero(got != own), "right")
+            same[at:stop] = True
+            same[at + wrong] = False
+        else:
+            same[at:stop] = [got[i:j].tobytes() == own[k:l].tobytes() for i, j, k, l in zip(np.r_[0, a[:-1]], a, np.r_[0, b[:-1]], b)]
+        at = stop
+    return same
 
 
 def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
@@ -473,7 +507,9 @@ def round_trip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
             parts.append(e.encode_array(lot))
             same.append(same_as_decoded(lot, *parts[-1], e))
         agree = pa.array(np.concatenate(same), pa.bool_(), mask=batch.is_null().to_numpy(zero_copy_only=False))
-        return pa.StructArray.from_arrays([_as_lists(batch, parts), agree], ["token_ids", "round_trip"])
+        out = pa.StructArray.from_arrays([_as_lists(batch, parts), agree], ["token_ids", "round_trip"])
+        give_back()
+        return out
 
     return there_and_back(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -93,6 +94,16 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def give_back() -> None:
+    """Called by an operator in a Python worker at the end of a batch: memory that it freed goes back to the
+    system, so that workers which wait for their next task hold little besides their tables."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 _active: list = [None, None]
 
 
@@ -101,5 +112,5 @@ def take_turn(owner: str, clear: Callable[[], None]) -> None:
     operator after another; what the last one left is emptied, so that tables never add up."""
     if _active[0] not in (None, owner):
         _active[1]()
-        pa.default_memory_pool().release_unused()
+        give_back()
     _active[:] = [owner, clear]

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, materialise, q, remove, require, scratch_path, take_turn
+from pagewright.llm.common import fresh, give_back, materialise, q, remove, require, scratch_path, take_turn
 
 BITS = 64
 TAU = 9
@@ -56,7 +56,7 @@ HOT = 20_000
 TASK_COST = 2_000_000
 #: Ids (some 40 bytes each as a hash table) up to which a table is broadcast.
 BROADCAST_ROWS = 500_000
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -123,6 +123,7 @@ def fingerprint_column(text: Column) -> Column:
             found += map(fingerprint, batch.slice(k, 256).to_pylist())
         missing = pa.array([f is None for f in found], pa.bool_())
         columns = [pa.array([None if f is None else f[k] for f in found], pa.int64()) for k in range(3)]
+        give_back()
         return pa.StructArray.from_arrays(columns, ["s", "v1", "v2"], mask=missing)
 
     return prints(text)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bpe import DEFAULT_VOCABULARY, LOT_BYTES, encoder_in_turn, read_vocabulary
-from pagewright.llm.common import q, require
+from pagewright.llm.common import give_back, q, require
 from pagewright.llm.words import lots
 
 KEYS = ("source", "lang", "tokenizer")
@@ -49,6 +49,7 @@ def bpe_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     def count(batch: pa.Array) -> pa.Array:
         e = encoder_in_turn(data)
         sizes = [np.zeros(0, np.int64), *(e.encode_array(lot)[1] for lot in lots(batch, LOT_BYTES))]
+        give_back()
         return pa.array(np.concatenate(sizes), pa.int64(), mask=batch.is_null().to_numpy(zero_copy_only=False))
 
     return count(text)

@@ -37,7 +37,9 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     """The runs of ``values`` that begin at ``starts``, one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    at = np.arange(total)
+    at += np.repeat(starts - (ends - lengths), lengths)
+    return values[at]
 
 
 def tokenise(texts: pa.Array, words: Callable[[pa.Array], Encoded], head: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes]) -> Encoded:
