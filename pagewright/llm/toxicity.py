@@ -27,11 +27,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, q, require, without
+from pagewright.llm.common import give_back, materialise, q, require, without
 from pagewright.llm.trees import Boosted, Isotonic, boost, isotonic
+from pagewright.llm.words import lots
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -56,6 +58,8 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DIGITS = b"0123456789"
 _SEED, _INDUCED, _HIDDEN, _PERSON, _CAPS, _MIXED = (1 << k for k in range(6))
 CACHE_ENTRIES = 400_000
+#: Bytes of text whose features are made at once.
+LOT_BYTES = 4 << 20
 
 
 class Marks(dict):
@@ -90,28 +94,48 @@ class Marks(dict):
         return m
 
 
-def features(text: str, marks: Marks) -> list[float]:
-    tokens = text.split()
-    n = len(tokens)
-    m = np.fromiter(map(marks.__getitem__, tokens), np.uint8, n)
-    counts = np.bincount(m, minlength=64)
-    has = {b: int(counts[(np.arange(64) & b) > 0].sum()) for b in (_SEED, _INDUCED, _HIDDEN, _PERSON, _CAPS, _MIXED)}
-    insult = np.flatnonzero(m & (_SEED | _INDUCED | _HIDDEN))
-    near = 0.0
-    if len(insult) and has[_PERSON]:
-        person = np.flatnonzero(m & _PERSON)
+_BYTE_CLASSES = tuple(np.isin(np.arange(256), list(chars)) for chars in (_UPPER, _PUNCTUATION, b"!", _DIGITS))
+
+
+def feature_rows(texts: pa.Array, marks: Marks) -> np.ndarray:
+    """The features of each text, none NULL: what a word is is found once for all its places in the lot."""
+    n = len(texts)
+    lists = pc.utf8_split_whitespace(texts)
+    doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    size = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)[codes]
+    if not size.all():  # white space at the ends leaves empty words
+        doc, codes, size = doc[size > 0], codes[size > 0], size[size > 0]
+    m = np.fromiter(map(marks.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint8, len(coded.dictionary))[codes]
+    count = lambda mask: np.bincount(doc[(m & mask) > 0], minlength=n)
+    n_words = np.bincount(doc, minlength=n)
+    words = np.maximum(n_words, 1)
+    insults, people = count(_SEED | _INDUCED | _HIDDEN), count(_PERSON)
+    near, begins = np.zeros(n), np.cumsum(n_words) - n_words
+    for i in np.flatnonzero((insults > 0) & (people > 0)):
+        own = m[begins[i] : begins[i] + n_words[i]]
+        insult, person = np.flatnonzero(own & (_SEED | _INDUCED | _HIDDEN)), np.flatnonzero(own & _PERSON)
         at = np.searchsorted(person, insult)
         gap = np.minimum(np.abs(insult - person[np.minimum(at, len(person) - 1)]), np.abs(insult - person[np.maximum(at - 1, 0)]))
-        near = float((1.0 / (1.0 + gap)).sum() / n)
-    raw = text.encode("utf-8", "replace")
-    size = max(len(raw), 1)
-    rate = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
-    words = max(n, 1)
-    return [
-        float(np.log1p(n)), has[_SEED] / words, has[_INDUCED] / words, has[_HIDDEN] / words, float(np.log1p(len(insult))), has[_PERSON] / words, near,
-        rate(_UPPER), has[_CAPS] / words, rate(_PUNCTUATION), raw.count(b"!") / size, rate(_DIGITS), has[_MIXED] / words,
-        float(max(map(len, tokens), default=0)),
-    ]
+        near[i] = (1.0 / (1.0 + gap)).sum() / n_words[i]
+    longest = np.zeros(n)
+    if len(doc):
+        some = np.flatnonzero(n_words)
+        longest[some] = np.maximum.reduceat(size, begins[some])
+    raw = np.frombuffer(b"".join(texts.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    length = np.maximum(np.diff(np.r_[0, ends]), 1)
+    upper, punctuation, exclaims, digits = (np.diff(np.searchsorted(np.flatnonzero(c[raw]), np.r_[0, ends])) / length for c in _BYTE_CLASSES)
+    share = lambda mask: count(mask) / words
+    return np.stack([
+        np.log1p(n_words), share(_SEED), share(_INDUCED), share(_HIDDEN), np.log1p(insults), share(_PERSON), near,
+        upper, share(_CAPS), punctuation, exclaims, digits, share(_MIXED), longest,
+    ], axis=1)
+
+
+def features(text: str, marks: Marks) -> list[float]:
+    return feature_rows(pa.array([text], pa.string()), marks)[0].tolist()
 
 
 @dataclass(frozen=True)
@@ -120,12 +144,15 @@ class Model:
     trees: Boosted = field(default_factory=lambda: Boosted(-30.0, (), 0.0))
     calibration: Isotonic | None = None
 
-    def score(self, texts: list[str | None], marks: Marks) -> list[float | None]:
-        rows = [features(t, marks) for t in texts if t and not t.isspace()]
-        x = np.array(rows, float).reshape(len(rows), len(NAMES))
+    def score_array(self, texts: pa.Array, marks: Marks) -> np.ndarray:
+        """The probability of each text; 0 without a word, NaN for NULL."""
+        x = feature_rows(texts.fill_null(""), marks)
         margin = self.trees.margin(x)
-        p = iter((self.calibration(margin) if self.calibration else 1 / (1 + np.exp(-margin))).tolist())
-        return [None if t is None else next(p) if t and not t.isspace() else 0.0 for t in texts]
+        p = self.calibration(margin) if self.calibration else 1 / (1 + np.exp(-margin))
+        return np.where(texts.is_null().to_numpy(zero_copy_only=False), np.nan, np.where(x[:, 0] > 0, p, 0.0))
+
+    def score(self, texts: list[str | None], marks: Marks) -> list[float | None]:
+        return [None if np.isnan(p) else p for p in self.score_array(pa.array(texts, pa.string()), marks).tolist()]
 
 
 def _sample(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, sample_rows: int) -> DataFrame:
@@ -184,14 +211,22 @@ def _features(sample: DataFrame, induced: list[frozenset[str]]) -> pd.DataFrame:
         most, least = Marks(every), Marks(common)
         each = [Marks(i) for i in induced]
         for b in batches:
-            out = []
-            for h, t, y, fold in zip(*(c.to_pylist() for c in b.columns)):
-                x = features(t, most)
-                if every == common or x == features(t, least):  # no word of the text is in some of the sets only
-                    out.append((h, y, fold, -1, *x))
-                else:
-                    out += [(h, y, fold, k, *features(t, m)) for k, m in enumerate(each)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+            at = 0
+            for lot in lots(b.column(1), LOT_BYTES):
+                part = b.slice(at, len(lot))
+                at += len(lot)
+                x = feature_rows(lot, most)
+                # no word of the text is in some of the sets only
+                same = (x == feature_rows(lot, least)).all(axis=1) if every != common else np.ones(len(lot), bool)
+                yield table(part, np.flatnonzero(same), x[same], -1)
+                other = np.flatnonzero(~same)
+                if len(other):
+                    for k, m in enumerate(each):
+                        yield table(part, other, feature_rows(lot.take(pa.array(other)), m), k)
+
+    def table(part: pa.RecordBatch, at: np.ndarray, x: np.ndarray, which: int) -> pa.RecordBatch:
+        own = part.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3), pa.array(np.full(len(at), which, np.int32)), *(pa.array(c) for c in x.T)], schema=schema)
 
     names = ("h", "y", "fold", "which", *NAMES)
     schema = pa.schema([("h", pa.string()), *((n, pa.int32()) for n in names[1:4]), *((n, pa.float64()) for n in NAMES)])
@@ -222,10 +257,10 @@ def score_column(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def toxicity(batch: pa.Array) -> pa.Array:
         marks = Marks(model.induced)
-        out: list[float | None] = []
-        for k in range(0, len(batch), 512):
-            out += model.score(batch.slice(k, 512).to_pylist(), marks)
-        return pa.array(out, pa.float64())
+        found = [np.zeros(0), *(model.score_array(lot, marks) for lot in lots(batch, LOT_BYTES))]
+        out = pa.array(np.concatenate(found), pa.float64(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+        give_back()
+        return out
 
     return toxicity(text)
 
