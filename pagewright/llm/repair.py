@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright.llm.bpe import DEFAULT_VOCABULARY, PATTERN, id_lists, list_array, read_vocabulary, vocabulary
-from pagewright.llm.common import q, require
-from pagewright.llm.words import in_one_call, lots, tokenise
+from pagewright.llm.common import give_back, q, require
+from pagewright.llm.words import LOT_BYTES, in_one_call, lots, tokenise
 
 SHARD_TOKENS = 1_000_000
 #: A rule is three numbers, so it pays from four uses on.
@@ -180,9 +180,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, min_count: int = MIN
         often = at_level <= level
         chosen, many = key[starts[often]], counts[often]
         every = p[np.repeat(often, counts)]
-        where, of = _runs_apart(*_by_place(every, many), after)
-        many = np.bincount(of, minlength=len(chosen))
-        where, of = _apart(where[many[of] >= 2], of[many[of] >= 2], after, many)
+        where, of = _by_place(every, many)
+        if (chosen // base == chosen % base).any():  # pairs of one symbol overlap themselves in its runs
+            where, of = _runs_apart(where, of, after)
+            many = np.bincount(of, minlength=len(chosen))
+            where, of = where[many[of] >= 2], of[many[of] >= 2]
+        where, of = _apart(where, of, after, many)
         worth = np.bincount(of, minlength=len(chosen)) >= 2
         if not worth.all():
             keep = worth[of]
@@ -252,12 +255,14 @@ def _runs_apart(at: np.ndarray, which: np.ndarray, after: np.ndarray) -> tuple[n
     """The places without those where a pair of one symbol overlaps itself: of a run every second stays."""
     if len(at) < 2:
         return at, which
-    same = (at[1:] == after[at[:-1]]) & (which[1:] == which[:-1])
-    if same.any():
-        i = np.arange(len(at))
-        begin = np.maximum.accumulate(np.where(np.r_[True, ~same], i, 0))
-        even = (i - begin) % 2 == 0
-        at, which = at[even], which[even]
+    follows = np.flatnonzero((which[1:] == which[:-1]) & (at[1:] == after[at[:-1]])) + 1
+    if len(follows):
+        own = np.arange(len(follows))
+        begins = np.r_[True, follows[1:] != follows[:-1] + 1]
+        place = own - np.maximum.accumulate(np.where(begins, own, 0))  # 0 for the second of a run
+        stay = np.ones(len(at), bool)
+        stay[follows[place % 2 == 0]] = False
+        at, which = at[stay], which[stay]
     return at, which
 
 
@@ -266,13 +271,15 @@ def _apart(at: np.ndarray, which: np.ndarray, after: np.ndarray, many: np.ndarra
     one that comes first."""
     if len(at) < 2:
         return at, which
+    touch = np.flatnonzero(at[1:] == after[at[:-1]])
+    if not len(touch):
+        return at, which
     rank = np.empty(len(many), np.int64)
     rank[np.argsort(-many, kind="stable")] = np.arange(len(many))
-    touch = at[1:] == after[at[:-1]]
-    r = rank[which]
+    first, second = rank[which[touch]], rank[which[touch + 1]]
     good = np.ones(len(at), bool)
-    good[1:] &= ~touch | (r[1:] < r[:-1])
-    good[:-1] &= ~touch | (r[:-1] < r[1:])
+    good[touch[first >= second]] = False
+    good[touch[second >= first] + 1] = False
     return at[good], which[good]
 
 
@@ -306,7 +313,7 @@ class _Shards:
     def add(self, ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
         """The arguments of each shard that became full."""
         at = 0
-        for lot in lots(texts):
+        for lot in lots(texts, 2 * LOT_BYTES):
             tokens, sizes = self.make(lot)
             missing = lot.is_null().to_numpy(zero_copy_only=False)
             upto = np.cumsum(sizes)
@@ -356,9 +363,11 @@ def compress_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
             name = b.column(0)[0].as_py() if b.num_rows else name
             for full in gather.add(b.column(1), b.column(2)):
                 yield from _shard((name << 32) + number, *full)
+                give_back()
                 number += 1
         if gather.held:
             yield from _shard((name << 32) + number, *gather.take())
+        give_back()
 
     rows = df.select(F.spark_partition_id().cast("bigint").alias("part"), q(doc_id).alias("doc_id"), q(text).alias("text"))
     return rows.mapInArrow(partition, schema)
