@@ -1,15 +1,19 @@
 """Figure and chart regions from drawn objects, and what specialists make of them.
 
-Membership, lattice test and characters inside are joins by page with a range condition; only the
-merging of growing boxes to a fixpoint is done in Python, page by page.
+Pages, objects and characters are packed, neighbours on a page into one row, and shuffled once by page; regions are
+then found on lots of whole pages. Members, lattices and characters inside given boxes are joins by page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright.functions.text import rstrip, strip
 from pagewright.operators.spans import whole_box
@@ -19,6 +23,12 @@ MIN_PATHS, MAX_DENSITY, MIN_AREA, GAP = 12, 5000.0, 0.015, 0.02
 LATTICE_RULES, LATTICE_SPAN, LATTICE_THICKNESS = 3, 0.6, 3.0
 PADDING, MIN_PIXELS, CROP_SIDE = 0.012, 8, 900
 _BOX = ("x0", "y0", "x1", "y1")
+#: Pages with more boxes are merged one by one; so many pairs are compared, so many items looked at and so many packed
+#: into a row at once.
+FEW_BOXES, PAIRS, LOT, PACK = 32, 1 << 18, 1 << 15, 64
+_SIZE, _PATH, _IMAGE, _CENTRE = range(4)
+_FIELDS = 6  # what an item is, its box, its number
+_FOUND = "region_order int, kind string, x double, y double, w double, h double, path_count int, text_chars bigint"
 
 
 def merge_boxes(boxes: np.ndarray, gap: float) -> np.ndarray:
@@ -40,18 +50,196 @@ def merge_boxes(boxes: np.ndarray, gap: float) -> np.ndarray:
     return np.array(sorted(map(tuple, done)), float).reshape(-1, 4)
 
 
-def clusters(paths: DataFrame, pages: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
-    """Boxes of drawn objects that belong together, on pages with enough of them; ``gap`` with each."""
+def _touch(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Whether boxes, given by columns, touch within the gap, seen from either."""
+    one = (b[2] >= a[0] - gap) & (b[0] <= a[2] + gap) & (b[3] >= a[1] - gap) & (b[1] <= a[3] + gap)
+    return one | (a[2] >= b[0] - gap) & (a[0] <= b[2] + gap) & (a[3] >= b[1] - gap) & (a[1] <= b[3] + gap)
+
+
+def _hulls(boxes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.stack([f.reduceat(c, starts) for f, c in zip((np.minimum, np.minimum, np.maximum, np.maximum), boxes)])
+
+
+def _pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each k with each of first[k], ..., first[k] + count[k] - 1, not many more than ``PAIRS`` at once."""
+    ends = np.cumsum(count)
+    k = 0
+    while k < len(count):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        n = count[k:stop]
+        i = np.repeat(np.arange(k, stop), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
+        k = stop
+
+
+def _merge_pages(boxes: np.ndarray, page: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``merge_boxes`` of several pages, for boxes by columns in the order of their pages; the merged boxes,
+    their pages, and which of them each box is in."""
+    label = np.arange(len(page))
+    while len(page):
+        start = np.searchsorted(page, page)
+        parent = np.arange(len(page))
+        for i, j in _pairs(start, np.arange(len(page)) - start):
+            hit = _touch(boxes[:, j], boxes[:, i], gap[page[i]])
+            np.minimum.at(parent, i[hit], j[hit])
+        if (parent == np.arange(len(page))).all():
+            break
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root, group = np.unique(parent, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        boxes = _hulls(boxes[:, order], np.searchsorted(group[order], np.arange(len(root))))
+        label, page = group[label], page[root]
+    return boxes, page, label
+
+
+def _tallied(boxes: np.ndarray, paths: np.ndarray, i: np.ndarray, j: np.ndarray, gap: np.ndarray | None = None) -> np.ndarray:
+    """Of each box: paths within up to the gap, flat and upright rules that meet it. ``i`` are the boxes of the paths
+    ``j``; they are its members unless there is a gap, which then is tested."""
+    wide, tall = paths[2, j] - paths[0, j], paths[3, j] - paths[1, j]
+    of = np.maximum(boxes[2:] - boxes[:2], 1e-6) * LATTICE_SPAN
+    flat = (wide >= of[0, i]) & (tall <= LATTICE_THICKNESS)
+    upright = ~flat & (tall >= of[1, i]) & (wide <= LATTICE_THICKNESS)
+    inside = np.ones(len(i), bool)
+    if gap is not None:
+        a, b = boxes[:, i], paths[:, j]
+        inside = (b[0] >= a[0] - gap[i]) & (b[2] <= a[2] + gap[i]) & (b[1] >= a[1] - gap[i]) & (b[3] <= a[3] + gap[i])
+        meets = (b[2] >= a[0]) & (b[0] <= a[2]) & (b[3] >= a[1]) & (b[1] <= a[3])
+        flat, upright = flat & meets, upright & meets
+    return np.stack([np.bincount(i[m], minlength=boxes.shape[1]) for m in (inside, flat, upright)])
+
+
+def _charts(paths: np.ndarray, page: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes of the charts, their pages and numbers of paths, of paths in the order of their pages."""
+    if not len(page):
+        return paths, page, page
+    # neighbours in the order of drawing mostly belong together
+    starts = np.r_[True, (page[1:] != page[:-1]) | ~_touch(paths[:, :-1], paths[:, 1:], gap[page[1:]])]
+    at, run = np.flatnonzero(starts), np.cumsum(starts) - 1
+    hulls, owner = _hulls(paths, at), page[at]
+    # what lies within a merged box is a member of it, unless boxes are inside out
+    slow = np.bincount(owner, minlength=len(gap)) > FEW_BOXES
+    slow[page[(paths[2] < paths[0]) | (paths[3] < paths[1])]] = True
+    quick = ~slow[owner]
+    boxes, own, label = _merge_pages(hulls[:, quick], owner[quick], gap)
+    place = np.zeros(len(at), np.int64)
+    place[quick] = label
+    j = np.flatnonzero(quick[run])
+    tally = _tallied(boxes, paths, place[run[j]], j)
+    out = [(boxes, own, tally)]
+    for n in np.flatnonzero(slow):
+        begin, end = np.searchsorted(owner, (n, n + 1))
+        if begin < end:
+            big = merge_boxes(hulls[:, begin:end].T, gap[n]).T
+            begin, end = np.searchsorted(page, (n, n + 1))
+            size = np.full(big.shape[1], end - begin)
+            sums = np.zeros((3, len(size)), np.int64)
+            for i, k in _pairs(np.zeros_like(size), size):
+                sums += _tallied(big, paths[:, begin:end], i, k, np.full(len(size), gap[n]))
+            out.append((big, np.full(len(size), n), sums))
+    boxes, own, tally = (np.concatenate(c, axis=-1) for c in zip(*out))
+    kept = (tally[0] >= MIN_PATHS) & ~((tally[1] >= LATTICE_RULES) & (tally[2] >= LATTICE_RULES))
+    return boxes[:, kept], own[kept], tally[0, kept]
+
+
+def _found(page: np.ndarray, what: np.ndarray, box: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Page, order, kind (1 for figures), place and size, paths and characters of the regions of whole pages, whose
+    rows follow each other."""
+    width, height = np.zeros((2, page[-1] + 1))
+    sizes = np.flatnonzero(what == _SIZE)
+    width[page[sizes]], height[page[sizes]] = box[0, sizes], box[1, sizes]
+    kept = width[page] > 0
+    paths = np.bincount(page[what == _PATH], minlength=len(width)) >= MIN_PATHS
+    of = np.flatnonzero((what == _PATH) & kept & paths[page])
+    charts, on, members = _charts(box[:, of], page[of], np.minimum(width, height) * GAP)
+    images = np.flatnonzero((what == _IMAGE) & kept)
+    r = np.concatenate([charts, box[:, images]], axis=1)
+    p = np.r_[on, page[images]]
+    kind = np.repeat([0, 1], (len(on), len(images)))
+    rank, members = np.r_[np.zeros_like(on), ids[images]], np.r_[members, np.zeros_like(images)]
+    w, h = width[p], height[p]
+    # + 0.0: no zero is negative
+    at = np.stack([np.maximum(r[0] / w, 0.0), np.maximum((h - r[3]) / h, 0.0), np.fmin((r[2] - r[0]) / w, 1.0), np.fmin((r[3] - r[1]) / h, 1.0)]) + 0.0
+    area = np.maximum(at[2], 0.0) * np.maximum(at[3], 0.0)
+    large = np.flatnonzero(area >= MIN_AREA)
+    r, p, kind, rank, members, at, area = r[:, large], p[large], kind[large], rank[large], members[large], at[:, large], area[large]
+    centres = np.flatnonzero(what == _CENTRE)
+    first, last = (np.searchsorted(page[centres], p, side) for side in ("left", "right"))
+    chars = np.zeros(len(p), np.int64)
+    for i, j in _pairs(first, last - first):
+        cx, cy = box[:2, centres[j]]
+        chars += np.bincount(i[(cx >= r[0, i]) & (cx <= r[2, i]) & (cy >= r[1, i]) & (cy <= r[3, i])], minlength=len(p))
+    sparse = (kind == 1) | (chars <= MAX_DENSITY * area)
+    order = np.lexsort((*r[::-1], rank, at[3], at[2], kind, at[0], at[1], p))
+    order = order[sparse[order]]
+    p, place = p[order], np.arange(len(order))
+    return p, place - np.searchsorted(p, p), kind[order], at[:, order], members[order], chars[order]
 
-    @F.arrow_udf("array<struct<x0: double, y0: double, x1: double, y1: double>>")
-    def merged(batch: pa.Array, gaps: pa.Array) -> pa.Array:
-        out = [[dict(zip(_BOX, row)) for row in merge_boxes(np.array([[b[c] for c in _BOX] for b in boxes]), g).tolist()] for boxes, g in zip(batch.to_pylist(), gaps.to_pylist())]
-        return pa.array(out, pa.list_(pa.struct([(c, pa.float64()) for c in _BOX])))
 
-    grouped = paths.groupBy(*key).agg(F.collect_list(F.struct(*_BOX)).alias("__boxes")).where(F.size("__boxes") >= MIN_PATHS)
-    j = grouped.join(pages.select(*key, "width", "height"), list(key))
-    j = j.withColumn("gap", F.least("width", "height") * GAP)
-    return j.select(*key, "gap", F.explode(merged("__boxes", "gap")).alias("c")).select(*key, "gap", "c.*")
+def _changes(keys: list[pa.Array]) -> np.ndarray:
+    """Where a row's key is not the one before."""
+    n = len(keys[0])
+    new = np.zeros(max(n - 1, 0), bool)
+    for k in keys:
+        new |= pc.not_equal(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new) + 1
+
+
+def _packed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring items of a page as the bytes of one value."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            begins = np.unique(np.r_[0, _changes(batch.columns[:n_keys]), np.arange(0, n, PACK)])
+            what, *box, number = (c.to_numpy() for c in batch.columns[n_keys:])
+            items = np.stack([what.astype(float), *box, number.view(float)], axis=1)
+            offsets = np.r_[begins, n].astype(np.int32) * (8 * _FIELDS)
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(items)])
+            yield pa.RecordBatch.from_arrays([*[k.take(pa.array(begins)) for k in batch.columns[:n_keys]], blobs], names=[*batch.schema.names[:n_keys], "items"])
+
+
+def _unpacked(blobs: pa.BinaryArray) -> np.ndarray:
+    """The items by columns."""
+    ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    items = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(float).reshape(-1, _FIELDS)
+    return np.ascontiguousarray(items.T)
+
+
+def _lots(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """Keys of whole pages, the page of each item and the items, some ``LOT`` at once or one page."""
+    held: list[pa.RecordBatch] = []
+
+    def lots() -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+        whole = pa.concat_batches(held)
+        begins = np.r_[0, _changes(whole.columns[:n_keys])]
+        sizes = pc.binary_length(whole.column(n_keys)).to_numpy() // (8 * _FIELDS)
+        sums = np.r_[0, np.cumsum(sizes)][np.r_[begins, whole.num_rows]]
+        k = 0
+        while k < len(begins):
+            stop = max(k + 1, int(np.searchsorted(sums, sums[k] + LOT, "right")) - 1)
+            begin, end = begins[k], begins[stop] if stop < len(begins) else whole.num_rows
+            items = _unpacked(whole.column(n_keys).slice(begin, end - begin))
+            page = np.repeat(np.arange(stop - k), np.diff(sums[k : stop + 1]))
+            yield [c.take(pa.array(begins[k:stop])) for c in whole.columns[:n_keys]], page, items
+            k = stop
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        inner = _changes(batch.columns[:n_keys])
+        last = int(inner[-1]) if len(inner) else 0
+        if held and not last:
+            ends = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            if not len(_changes(ends.columns[:n_keys])):
+                held.append(batch)
+                continue
+        if last:
+            held.append(batch.slice(0, last))
+        if held:
+            yield from lots()
+        held = [batch.slice(last)]
+    if held:
+        yield from lots()
 
 
 def _on(key: tuple[str, ...]) -> Column:
@@ -96,22 +284,35 @@ def with_chars(boxes: DataFrame, chars: DataFrame, key: tuple[str, ...] = PAGE_K
 def detect_regions(pages: DataFrame, objects: DataFrame, chars: DataFrame, key: tuple[str, ...] = PAGE_KEY) -> DataFrame:
     """Figures (one for each image) and charts (clusters of paths that are no ruled table), normalised,
     origin top left. Small ones go, and charts as dense with text as tables are."""
-    sized = pages.where((F.col("width") > 0) & (F.col("height") > 0)).select(*key, "width", "height")
+    sized = pages.where((F.col("width") > 0) & (F.col("height") > 0))
     sound = objects.where(whole_box())
-    paths = sound.where("kind = 'path'").select(*key, *_BOX)
-    found = with_lattice(with_members(clusters(paths, sized, key), paths, key).where(F.col("path_count") >= MIN_PATHS), paths, key).where(~F.col("lattice"))
-    charts = found.select(*key, F.lit("chart").alias("kind"), F.col("path_count").cast("int").alias("path_count"), *_BOX, F.monotonically_increasing_id().alias("__id"))
-    figures = sound.where("kind = 'image'").select(*key, F.lit("figure").alias("kind"), F.lit(0).alias("path_count"), *_BOX, F.col("obj_id").cast("bigint").alias("__id"))
-    both = with_chars(figures.unionByName(charts), chars, key).join(sized, list(key))
-    w, h = F.col("width"), F.col("height")
-    r = both.select(
-        *key, "kind", F.greatest(F.col("x0") / w, F.lit(0.0)).alias("x"), F.greatest((h - F.col("y1")) / h, F.lit(0.0)).alias("y"),
-        F.least((F.col("x1") - F.col("x0")) / w, F.lit(1.0)).alias("w"), F.least((F.col("y1") - F.col("y0")) / h, F.lit(1.0)).alias("h"), "path_count", "text_chars", "__id",
-    )
-    area = F.greatest("w", F.lit(0.0)) * F.greatest("h", F.lit(0.0))
-    kept = r.where((area >= MIN_AREA) & ~((F.col("kind") == "chart") & (F.col("text_chars") > MAX_DENSITY * area)))
-    order = F.row_number().over(Window.partitionBy(*key).orderBy("y", "x", "kind", "w", "h", "__id")) - 1
-    return kept.select(*key, order.alias("region_order"), "kind", "x", "y", "w", "h", "path_count", "text_chars")
+    n_keys = len(key)
+
+    def item(df: DataFrame, what: int, x0: Column, y0: Column, x1: Column, y1: Column, number: Column) -> DataFrame:
+        boxes = [c.cast("double").alias(n) for n, c in zip(_BOX, (x0, y0, x1, y1))]
+        return df.select(*key, F.lit(what).cast("tinyint").alias("what"), *boxes, number.cast("bigint").alias("number")).dropna(subset=list(key))
+
+    zero, box = F.lit(0.0), [F.col(c) for c in _BOX]
+    rows = item(sized, _SIZE, F.col("width"), F.col("height"), zero, zero, F.lit(0))
+    rows = rows.unionByName(item(sound.where("kind = 'path'"), _PATH, *box, F.lit(0)))
+    rows = rows.unionByName(item(sound.where("kind = 'image'"), _IMAGE, *box, F.coalesce("obj_id", F.lit(-1))))
+    rows = rows.unionByName(item(chars.where(whole_box()), _CENTRE, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, zero, zero, F.lit(0)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(batches, n_keys)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, page, items in _lots(batches, n_keys):
+            p, order, kind, at, members, inside = _found(page, items[0], items[1:5], items[5].view(np.int64))
+            kinds = pa.array(["chart", "figure"]).take(pa.array(kind))
+            made = [pa.array(order, pa.int32()), kinds, *map(pa.array, at), pa.array(members, pa.int32()), pa.array(inside, pa.int64())]
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(p)) for k in keys] + made, names=names)
+
+    fields = rows.select(*key).schema.fields
+    schema = StructType(fields + StructType.fromDDL(_FOUND).fields)
+    names = schema.names
+    packed = rows.mapInArrow(pack, StructType(fields).add("items", "binary"))
+    return packed.repartition(*key).sortWithinPartitions(*key).mapInArrow(find, schema)
 
 
 def crop_pixels(regions: DataFrame, width: Column, height: Column) -> DataFrame:
