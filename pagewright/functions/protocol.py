@@ -7,7 +7,7 @@ comparing a text with itself, for which expressions have no loop.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, MapType, StructType
 
-from pagewright.functions.text import strip
+from pagewright.functions.text import rstrip, strip
 
 ROTATIONS = (0, 90, 180, 270)
 SPIRAL = r"[ \t]{200,}|(?:\r?\n){40,}"
@@ -147,53 +147,81 @@ def degenerate(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_spa
     longest repeated tail. NULL is sound."""
     units, reach = _units(ngram_size, min_repeats, min_span)
 
-    def report(t: str | None, spiral: bool) -> tuple:
-        if t is None:
-            return _SOUND
-        m = _SPIRAL.search(t) if spiral else None
-        if m:
-            return True, "whitespace_spiral", 0, 0, len(m.group())
-        loop = longest_loop(t, units, reach)
-        return (True, "repetition_loop", *loop, loop[0] * loop[1]) if loop else _SOUND
-
     @F.arrow_udf(f"struct<{_REPORT}>")
     def detect(batch: pa.Array) -> pa.Array:
-        rows = []
-        for k in range(0, len(batch), 256):
-            part = batch.slice(k, 256)
-            spirals = pc.match_substring_regex(part.fill_null(""), SPIRAL).to_pylist()
-            rows += map(report, part.to_pylist(), spirals)
-        kinds = (pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, kinds)], [f.split(":")[0] for f in _REPORT.split(", ")])
+        return _columns([r for _, r in _reports(batch, units, reach)], _REPORT)
 
     return detect(text)
 
 
-def without_loop(text: str, size: int) -> str:
-    """``text`` with one unit kept of its repeated end. The unit is of the collapsed text, but units are counted
-    in the raw one, so a loop that has runs of white space may stay."""
+def _columns(rows: list[tuple], fields: str) -> pa.Array:
+    names, kinds = zip(*(f.split(": ") for f in fields.split(", ")))
+    types = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}
+    return pa.StructArray.from_arrays([pa.array(c, types[kind]) for c, kind in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+
+
+def _reports(batch: pa.Array, units: tuple[tuple[int, int], ...], reach: int) -> Iterator[tuple[str | None, tuple]]:
+    """Each text and its report; only one text is held besides the batch."""
+    for k in range(0, len(batch), 64):
+        part = batch.slice(k, 64)
+        for value, spiral in zip(part, pc.match_substring_regex(part, SPIRAL).to_pylist()):
+            t = value.as_py()
+            m = _SPIRAL.search(t) if spiral else None
+            loop = longest_loop(t, units, reach) if t is not None and not m else None
+            yield t, (True, "whitespace_spiral", 0, 0, len(m.group())) if m else (True, "repetition_loop", *loop, loop[0] * loop[1]) if loop else _SOUND
+
+
+def kept_length(text: str, size: int) -> int:
+    """How much of ``text`` is left with one unit kept of its repeated end. The unit is of the collapsed text, but units
+    are counted in the raw one, so a loop that has runs of white space may stay."""
     unit, codes = _codes(_BLANKS.sub(" ", text)[-size:]), _codes(_BLANK.sub(" ", text))
     whole = len(codes) // size
     units = codes[len(codes) - whole * size :].reshape(whole, size)
     other = np.flatnonzero((units != unit).any(axis=1)) if len(unit) == size else np.arange(whole)
     surplus = whole - (int(other[-1]) + 1 if len(other) else 0) - 1
-    return text[: len(text) - max(0, surplus) * size].rstrip()
+    return len(text) - max(0, surplus) * size
+
+
+def without_loop(text: str, size: int) -> str:
+    return text[: kept_length(text, size)].rstrip()
+
+
+_CUT = "length: int, respaced: string"
+
+
+def _cut(text: str | None, kind: str | None, size: int | None) -> tuple[int | None, str | None]:
+    """What length of a looping text is kept, or a text whose spirals are gone; long texts need not come back from Python."""
+    if text is None or not kind:
+        return None, None
+    return (None, _SPIRAL.sub("\n\n", text)) if kind == "whitespace_spiral" else (kept_length(text, size), None)
+
+
+def _trimmed(text: Column, cut: Column) -> Column:
+    return F.when(cut["length"].isNotNull(), rstrip(F.left(text, cut["length"]))).when(cut["respaced"].isNotNull(), rstrip(cut["respaced"])).otherwise(text)
 
 
 def truncate_degenerate(text: Column, report: Column) -> Column:
     """``text`` without what ``report`` (of ``degenerate``) finds degenerate: spirals become a blank line, a
     repeated end keeps one unit."""
 
-    @F.arrow_udf("string")
-    def trim(texts: pa.Array, kinds: pa.Array, sizes: pa.Array) -> pa.Array:
-        def one(t: str | None, kind: str | None, size: int | None) -> str | None:
-            if t is None or not kind:
-                return t
-            return _SPIRAL.sub("\n\n", t).rstrip() if kind == "whitespace_spiral" else without_loop(t, size)
+    @F.arrow_udf(f"struct<{_CUT}>")
+    def cut(texts: pa.Array, kinds: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _columns([_cut(t.as_py(), kind, size) for t, kind, size in zip(texts, kinds.to_pylist(), sizes.to_pylist())], _CUT)
 
-        return pa.array([one(*row) for row in zip(texts.to_pylist(), kinds.to_pylist(), sizes.to_pylist())], pa.string())
+    return _trimmed(text, cut(text, report["kind"], report["ngram_size"]))
+
+
+def degenerate_and_rest(text: Column, ngram_size: int = 64, min_repeats: int = 3, min_span: int = 200) -> tuple[Column, Column]:
+    """The report of ``degenerate`` and the text that ``truncate_degenerate`` makes by it, of one pass over the texts:
+    in two, each core has two Python workers, both with a batch of texts."""
+    units, reach = _units(ngram_size, min_repeats, min_span)
+
+    @F.arrow_udf(f"struct<{_REPORT}, {_CUT}>")
+    def detect(batch: pa.Array) -> pa.Array:
+        return _columns([(*r, *_cut(t, r[1], r[2])) for t, r in _reports(batch, units, reach)], f"{_REPORT}, {_CUT}")
 
-    return trim(text, report["kind"], report["ngram_size"])
+    both = detect(text)
+    return F.struct(*[both[f.split(":")[0]].alias(f.split(":")[0]) for f in _REPORT.split(", ")]), _trimmed(text, both)
 
 
 # -- names that older callers know ------------------------------------------------------------
@@ -205,7 +233,7 @@ def repetition_loop(text: Column, window: int = 64, max_repeats: int = 8) -> Col
 
 
 def truncated_repetition(text: Column, window: int = 64, max_repeats: int = 8) -> Column:
-    return truncate_degenerate(text, degenerate(text, window, max_repeats))
+    return degenerate_and_rest(text, window, max_repeats)[1]
 
 
 # -- JSON ------------------------------------------------------------------------------------

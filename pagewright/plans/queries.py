@@ -116,8 +116,8 @@ def degenerate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a tail made up by repeating their end."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.repeat(F.right(F.col("text"), F.lit(5)), F.lit(60))).alias("text"))
-    r = d.withColumn("r", protocol.degenerate(F.col("text")))
-    return r.select("doc_id", "r.detected", F.md5(protocol.truncate_degenerate(F.col("text"), F.col("r"))).alias("digest"))
+    report, rest = protocol.degenerate_and_rest(F.col("text"))
+    return d.select("doc_id", report["detected"].alias("detected"), F.md5(rest).alias("digest"))
 
 
 def _loops_sql(table: str = "documents") -> str:
