@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagewright.functions.text import rstrip, strip
+from pagewright.operators.lots import changes, whole_pages
 from pagewright.operators.spans import whole_box
 from pagewright.schema import PAGE_KEY
 
@@ -176,21 +177,12 @@ def _found(page: np.ndarray, what: np.ndarray, box: np.ndarray, ids: np.ndarray)
     return p, place - np.searchsorted(p, p), kind[order], at[:, order], members[order], chars[order]
 
 
-def _changes(keys: list[pa.Array]) -> np.ndarray:
-    """Where a row's key is not the one before."""
-    n = len(keys[0])
-    new = np.zeros(max(n - 1, 0), bool)
-    for k in keys:
-        new |= pc.not_equal(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new) + 1
-
-
 def _packed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
     """Neighbouring items of a page as the bytes of one value."""
     for batch in batches:
         n = batch.num_rows
         if n:
-            begins = np.unique(np.r_[0, _changes(batch.columns[:n_keys]), np.arange(0, n, PACK)])
+            begins = np.unique(np.r_[0, changes(batch.columns[:n_keys]), np.arange(0, n, PACK)])
             what, *box, number = (c.to_numpy() for c in batch.columns[n_keys:])
             items = np.stack([what.astype(float), *box, number.view(float)], axis=1)
             offsets = np.r_[begins, n].astype(np.int32) * (8 * _FIELDS)
@@ -207,11 +199,7 @@ def _unpacked(blobs: pa.BinaryArray) -> np.ndarray:
 
 def _lots(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     """Keys of whole pages, the page of each item and the items, some ``LOT`` at once or one page."""
-    held: list[pa.RecordBatch] = []
-
-    def lots() -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
-        whole = pa.concat_batches(held)
-        begins = np.r_[0, _changes(whole.columns[:n_keys])]
+    for whole, begins in whole_pages(batches, n_keys):
         sizes = pc.binary_length(whole.column(n_keys)).to_numpy() // (8 * _FIELDS)
         sums = np.r_[0, np.cumsum(sizes)][np.r_[begins, whole.num_rows]]
         k = 0
@@ -223,24 +211,6 @@ def _lots(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list
             yield [c.take(pa.array(begins[k:stop])) for c in whole.columns[:n_keys]], page, items
             k = stop
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        inner = _changes(batch.columns[:n_keys])
-        last = int(inner[-1]) if len(inner) else 0
-        if held and not last:
-            ends = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
-            if not len(_changes(ends.columns[:n_keys])):
-                held.append(batch)
-                continue
-        if last:
-            held.append(batch.slice(0, last))
-        if held:
-            yield from lots()
-        held = [batch.slice(last)]
-    if held:
-        yield from lots()
-
 
 def _on(key: tuple[str, ...]) -> Column:
     on = F.lit(True)
